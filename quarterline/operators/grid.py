@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterline.session import shuffle_partitions
+
 
 def value_product(df: DataFrame, keys: Sequence[str], blocks: int = 64) -> DataFrame:
     """All combinations of the distinct values of ``keys``.
@@ -49,15 +51,17 @@ def complete_grid(
         grid = df.select(*keys).distinct()
     else:
         grid = value_product(df, keys)
+    places = shuffle_partitions(df.sparkSession)
+    grid = grid.repartition(places, *keys)
     for names in dims:
         values = df.agg(F.sort_array(F.collect_set(F.struct(*names))).alias("v")).scalar()
         grid = grid.withColumn("_d", F.explode(values)).select("*", "_d.*").drop("_d")
 
     cell = [*keys, *[name for names in dims for name in names]]
     others = [name for name in df.columns if name not in cell]
-    marked = df.withColumn("_row", F.lit(1)).repartition(*keys)
+    marked = df.withColumn("_row", F.lit(1)).repartition(places, *keys)
     merged = (
-        marked.unionByName(grid.repartition(*keys) if len(keys) > 1 else grid, allowMissingColumns=True)
+        marked.unionByName(grid, allowMissingColumns=True)
         .groupBy(*cell)
         .agg(F.count("_row").alias("_rows"), *[F.max(name).alias(name) for name in others])
     )

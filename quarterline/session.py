@@ -29,6 +29,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
     return builder.getOrCreate()
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partition count for a placement that adaptive execution must not shrink.
+
+    It sizes partitions by the bytes shuffled, which says little where each shuffled
+    row unfolds into many.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an aggregated intermediate once to the shared checkpoint folder.
 

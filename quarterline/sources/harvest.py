@@ -100,12 +100,14 @@ def with_operating_unit(
     estimates: DataFrame,
     order: Sequence[str] = ("line_no",),
     group: Sequence[str] = ("request_id",),
-    few: Sequence[str] = (),
+    few: Sequence[str] = ("line_no",),
 ) -> DataFrame:
     """Name of the country above each area: the last level-0 area before it.
 
-    By request, so that a request without a level-0 line gets NULL. With no group
-    and an order over the whole table the name runs on into the next request.
+    By request, so that a request without a level-0 line gets NULL; the lines of a
+    request come from one payload cell, which bounds them. With no group and an order
+    over the whole table the name runs on into the next request; then ``few`` must
+    name only order columns with few values (see ``fill_down``).
     """
     top = estimates.withColumn("operatingunit", F.when(F.col("level") == 0, F.col("area")))
     return fill_down(top, "operatingunit", order, group, few)

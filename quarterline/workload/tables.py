@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarterline.functions.classify import Rule
 from quarterline.schemas import INDICATOR_RESULTS, TARGETS, TOTAL_NUMERATOR, Metadata
+from quarterline.session import shuffle_partitions
 from quarterline.sources.harvest import request_grid
 
 META = Metadata(curr_fy=2023, curr_qtr=2, source="FY23Q2 results")
@@ -27,9 +28,32 @@ MODALITY_RULES = (
 )
 INDEX_RULES = MODALITY_RULES[:1]
 
+#: given tables; a stated schema saves the job that reads a footer for it
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "customer": (
+        "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
+    ),
+    "part": (
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+        "p_retailprice DOUBLE"
+    ),
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+        "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+        "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _fiscal_year(date: str) -> Column:
@@ -174,8 +198,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 7 != 0, F.array(own)).otherwise(F.array().cast("array<string>")),
         F.slice(districts, F.lit(2), F.size(districts)),
     )
-    grid = request_grid(countries(spark, sf_dir))
-    return grid.select(
+    # small rows that unfold into many: spread them first, a small file is one task
+    tasks = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
+    spread = countries(spark, sf_dir).repartition(tasks, "country_no")
+    return request_grid(spread).select(
         F.concat_ws("-", F.col("batch_no").cast("string"), key.cast("string")).alias("request_id"),
         "batch_no", "country_no", "iso", "indicator", "age", "sex", "period",
         F.array_join(body, "\n").alias("payload"),
