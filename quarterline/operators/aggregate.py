@@ -32,10 +32,11 @@ def sum_two_grains(
 ) -> DataFrame:
     """Sums by ``keys`` and by ``keys`` + ``detail`` in one pass over the data.
 
-    Rows of the coarse grain carry ``all_label`` in ``detail`` and ``is_total`` = 1.
+    Rows of the coarse grain carry ``all_label`` in ``detail`` and ``is_total`` = 1. The
+    data is summed to the fine grain first; only those sums are doubled for the two grains.
     """
     names = matching_columns(df, pattern)
-    grouped = df.groupingSets(
+    grouped = sum_across(df, [*keys, detail], pattern).groupingSets(
         [list(keys), [*keys, detail]], *keys, detail
     ).agg(
         F.grouping(detail).cast("int").alias("is_total"),
@@ -74,7 +75,10 @@ def exact_median(
         .groupBy(category, "_n", "_v")
         .agg(F.count("*").alias("_rows"))
     )
-    upward = Window.partitionBy(category, "_n").orderBy(F.col("_v").asc_nulls_first())
+    upward = (
+        Window.partitionBy(category, "_n").orderBy(F.col("_v").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     ranked = inside.withColumn("_upto", F.sum("_rows").over(upward))
 
     def at_rank(rank: Column) -> Column:

@@ -15,6 +15,7 @@ from quarterline.operators.achievement import (
 from quarterline.operators.aggregate import sum_across, sum_two_grains
 from quarterline.operators.reshape import reshape_quarters
 from quarterline.schemas import TOTAL_NUMERATOR, Metadata
+from quarterline.sources.snapshots import write_by
 
 QUARTERS_AND_TARGETS = "targets|qtr"
 
@@ -129,3 +130,8 @@ def mech_summary(df: DataFrame, metadata: Metadata) -> DataFrame:
     return table.withColumn(
         "title", F.concat(F.col("mech_name"), F.lit(" PERFORMANCE SUMMARY"))
     )
+
+
+def write_mech_summaries(df: DataFrame, metadata: Metadata, path: str) -> None:
+    """One output folder per mechanism, all written by one job."""
+    write_by(mech_summary(df, metadata), path, "mech_code")

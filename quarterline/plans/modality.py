@@ -39,12 +39,16 @@ def modality_rows(
 
 
 def modality_periods(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Quarterly value per modality group and ``keys``; one row per cell, never NULL."""
-    wide = sum_across(rows, ["fiscal_year", "mod_type", *keys], "^qtr")
+    """Quarterly value per modality group and ``keys``; one row per cell, never NULL.
+
+    The yearly sums are staged, because shares, ranks and the grid all read them.
+    """
+    wide = stage(sum_across(rows, ["fiscal_year", "mod_type", *keys], "^qtr"))
     return reshape_long(wide).drop("period_type")
 
 
 def on_grid(
+    periods: DataFrame,
     shared: DataFrame,
     keys: Sequence[str],
     colors: Mapping[str, str],
@@ -52,12 +56,12 @@ def on_grid(
     begin_period: str,
     note: str,
 ) -> DataFrame:
-    """Order, complete, fill, total, colour and prune a table of shares.
+    """Order, complete, fill, total, colour and prune ``shared``, the shares of ``periods``.
 
     Ranks fill upwards only, so a group loses its rows after its last period with
     data while earlier gaps stay, with NULL values; totals are taken before that.
     """
-    order = category_order(shared, "mod_type", "value").select(
+    order = category_order(periods, "mod_type", "value").select(
         F.col("mod_type").alias("_type"), "mod_order"
     )
     ordered = (
@@ -88,9 +92,9 @@ def modality_by_mech(
     """Six-way modality report by mechanism; a share is of the whole period."""
     mod_type = classify.modality_type(F.col("modality"), rules)
     rows = modality_rows(df, curr_fy, mod_type, indicator, disaggregate)
-    periods = stage(modality_periods(rows, [mech]))
+    periods = modality_periods(rows, [mech])
     return on_grid(
-        share_of_period(periods), [mech], classify.MODALITY_COLORS,
+        periods, share_of_period(periods), [mech], classify.MODALITY_COLORS,
         classify.MODALITY_OTHER_COLOR, begin_period, indicator,
     )
 
@@ -107,8 +111,8 @@ def modality_index(
     """Index against other testing by the caller's keys; a share is of period and keys."""
     mod_type = classify.index_or_other(F.col("modality"), rules)
     rows = modality_rows(df, curr_fy, mod_type, indicator, disaggregate)
-    periods = stage(modality_periods(rows, keys))
+    periods = modality_periods(rows, keys)
     return on_grid(
-        share_of_group(periods, keys), keys, classify.INDEX_COLORS,
+        periods, share_of_group(periods, keys), keys, classify.INDEX_COLORS,
         classify.INDEX_OTHER_COLOR, begin_period, indicator,
     )

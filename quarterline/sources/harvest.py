@@ -74,7 +74,8 @@ def parse_payloads(responses: DataFrame, carry: Sequence[str], schema: str = ARE
     """
     names = [part.split()[0] for part in schema.split(",")]
     header = F.regexp_replace(F.lower(F.element_at("_lines", 1)), r'["\s]', "")
-    expected = F.assert_true(header == ",".join(names), F.concat(F.lit("payload header: "), header))
+    found = F.concat(F.lit("payload header: "), F.coalesce(header, F.lit("none")))
+    expected = F.assert_true(header == ",".join(names), found)
     lines = responses.select(
         *carry, F.split("payload", r"\r?\n").alias("_lines")
     ).filter(expected.isNull())

@@ -24,7 +24,6 @@ from quarterline.operators.shares import (
 )
 from quarterline.plans import achievement as reports
 from quarterline.plans import modality, targets
-from quarterline.session import stage
 from quarterline.sources import harvest as area
 from quarterline.sources.snapshots import latest_snapshot, profile, targets_of_type
 from quarterline.workload import tables as t
@@ -356,7 +355,7 @@ def _mech_periods(spark, sf_dir):
         classify.modality_type(F.col("modality"), t.MODALITY_RULES),
         t.INDICATOR, t.DISAGGREGATE,
     )
-    return stage(modality.modality_periods(rows, ["mech_name"]))
+    return modality.modality_periods(rows, ["mech_name"])
 
 
 @named("share_of_period")
