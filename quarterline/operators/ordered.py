@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarterline.session import stage
+
 BLOCK = 50_000
 
 
@@ -106,6 +108,9 @@ def _before(
     rows = df.withColumn("_opening", F.lit(False))
     if outer:
         blocks = df.groupBy(*part).agg(summary.alias("_summary"))
+        if len(outer) > 1:
+            # read once per further level; staged, the rows themselves are read twice in all
+            blocks = stage(blocks)
         opening = (
             _before(blocks, "_summary", group, outer, how)
             .filter(F.col("_before").isNotNull())

@@ -73,14 +73,13 @@ def parse_payloads(responses: DataFrame, carry: Sequence[str], schema: str = ARE
     without a shuffle; numbers that do not parse become NULL.
     """
     names = [part.split()[0] for part in schema.split(",")]
-    header = F.regexp_replace(F.lower(F.element_at("_lines", 1)), r'["\s]', "")
+    first_line = F.substring_index("payload", "\n", 1)
+    header = F.regexp_replace(F.lower(first_line), r'["\s]', "")
     found = F.concat(F.lit("payload header: "), F.coalesce(header, F.lit("none")))
     expected = F.assert_true(header == ",".join(names), found)
-    lines = responses.select(
-        *carry, F.split("payload", r"\r?\n").alias("_lines")
-    ).filter(expected.isNull())
     rows = (
-        lines.select(*carry, F.posexplode("_lines").alias("line_no", "_line"))
+        responses.filter(expected.isNull())
+        .select(*carry, F.posexplode(F.split("payload", r"\r?\n")).alias("line_no", "_line"))
         .filter((F.col("line_no") > 0) & (F.col("_line") != ""))
         .select(*carry, "line_no", F.from_csv("_line", F.lit(schema)).alias("_row"))
     )
