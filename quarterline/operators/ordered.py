@@ -17,11 +17,12 @@ def fill_up(df: DataFrame, column: str, group: Sequence[str], order: str) -> Dat
 
     For period series: a group has one row per period.
     """
-    ahead = (
-        Window.partitionBy(*group).orderBy(order)
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the last row backwards: a running frame, where one that looks ahead restarts per row
+    backwards = (
+        Window.partitionBy(*group).orderBy(F.col(order).desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return df.withColumn(column, F.first(column, ignorenulls=True).over(ahead))
+    return df.withColumn(column, F.last(column, ignorenulls=True).over(backwards))
 
 
 def fill_down(
