@@ -34,9 +34,9 @@ def whole(column: Column) -> Column:
 
 
 def _plain(column: Column) -> Column:
-    """A double without exponent and without a trailing ``.0``."""
-    decimals = column.try_cast("decimal(38,12)").cast("string")
-    return F.regexp_replace(decimals, r"\.?0+$", "")
+    """A double to at most twelve decimals, without exponent, separators or trailing zeros."""
+    decimals = F.format_number(column + F.lit(0.0), 12)  # adding 0 turns -0 into 0
+    return F.regexp_replace(decimals, r",|\.?0+$", "")
 
 
 def clean_number(column: Column, digits: int = 0, na_text: str | None = None) -> Column:

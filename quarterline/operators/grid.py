@@ -4,29 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterline.session import shuffle_partitions
 
 
-def value_product(df: DataFrame, keys: Sequence[str], blocks: int = 64) -> DataFrame:
+def value_product(df: DataFrame, keys: Sequence[str], side: int = 16) -> DataFrame:
     """All combinations of the distinct values of ``keys``.
 
-    Each further key joins through ``blocks`` hash blocks, so that the product is
-    spread over the cluster whatever the number of values on either side.
+    Each further key joins on a ``side`` x ``side`` board of hash blocks: a value of
+    either side goes to its row or column of the board, so that the product is spread
+    over ``side`` squared groups whatever the number of values on one side.
     """
+
+    def block(*columns: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(side)).cast("int")
+
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     first, *others = keys
-    product = df.select(first).distinct()
+    product, held = df.select(first).distinct(), [first]
     for key in others:
-        values = df.select(key).distinct().withColumn(
-            "_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-        )
-        product = (
-            product.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            .join(values, "_block")
-            .drop("_block")
-        )
+        left = product.withColumn("_i", block(*held)).withColumn("_j", every_block)
+        right = df.select(key).distinct().withColumn("_j", block(key)).withColumn("_i", every_block)
+        product = left.join(right, ["_i", "_j"]).drop("_i", "_j")
+        held.append(key)
     return product
 
 

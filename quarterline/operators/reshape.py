@@ -28,7 +28,7 @@ def reshape_long(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     ]
     year = F.col("fiscal_year")
     is_quarter = F.col("_measure").startswith("qtr")
-    quarter = F.when(is_quarter, F.right(F.col("_measure"), F.lit(1)).cast("int")).otherwise(4)
+    quarter = F.when(is_quarter, F.right(F.col("_measure"), F.lit(1)).try_cast("int")).otherwise(4)
     return (
         df.unpivot(["fiscal_year", *ids], measures, "_measure", "value")
         .filter(F.col("value").isNotNull())

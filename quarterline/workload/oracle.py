@@ -471,8 +471,10 @@ ORACLE: dict[str, str] = {
       UNION ALL
       SELECT fiscal_year, indicator, NULL, {_total('targets')}, funding_agency
       FROM tst WHERE type = 'ALL' GROUP BY fiscal_year, indicator, funding_agency""",
-    "union_indicators": f"""WITH {ESTIMATES} SELECT CAST(batch_no // 9 + 1 AS INT) AS src_no, indicator,
-      level, COUNT(*) AS n_rows, SUM(mean) AS mean, COUNT(upper) AS n_upper FROM estimates GROUP BY ALL""",
+    "union_indicators": (
+        f"WITH {ESTIMATES} SELECT CAST(batch_no // 9 + 1 AS INT) AS src_no, {_REQUEST}, {_LINE} "
+        "FROM estimates"
+    ),
     "distinct_pairs": f"WITH {MSD} SELECT DISTINCT mech_code, mech_name FROM msd",
     "agg_across_pattern": (
         f"WITH {MSD}, {_sums('fiscal_year', 'indicator', 'mech_code')} SELECT * FROM sums"

@@ -241,9 +241,7 @@ def union_indicators(spark, sf_dir):
         .withColumn("src_no", F.lit(n))
         for n, name in enumerate(area.INDICATORS, 1)
     ]
-    return bind_rows(*parts).groupBy("src_no", "indicator", "level").agg(
-        F.count("*").alias("n_rows"), F.sum("mean").alias("mean"), F.count("upper").alias("n_upper")
-    )
+    return bind_rows(*parts)
 
 
 @query

@@ -1,6 +1,6 @@
 """Compare registered queries with their SQL, value by value.
 
-    python tests/oracle_check.py /root/testdata/sf0.01 [query ...]
+    python tests/oracle_check.py /root/testdata/sf0.01 [setting=value ...] [query ...]
 """
 
 from __future__ import annotations
@@ -77,7 +77,9 @@ def main(sf_dir: str, only: list[str]) -> int:
     from __spark_entry__ import oracle_sql, queries
     from quarterline.session import local_session
 
-    spark = local_session()
+    settings = dict(word.split("=", 1) for word in only if "=" in word)
+    only = [word for word in only if "=" not in word]
+    spark = local_session(**settings)
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf_dir)
     oracles = oracle_sql()

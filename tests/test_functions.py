@@ -60,6 +60,17 @@ def test_clean_number_rounds_half_even(spark):
         "1.2K", "1.4K", "2K"]
 
 
+def test_plain_numbers_do_not_depend_on_ansi_mode(spark):
+    data = [0.0, -0.0, 1e-7, 0.1 + 0.2, 999.5, -1234567.25]
+    expected = ["0", "0", "0.0000001", "0.3", "999.5", "-1234567.25"]
+    assert values(spark, data, "DOUBLE", labels.clean_number) == expected
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert values(spark, data, "DOUBLE", labels.clean_number) == expected
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_format_achievement(spark):
     label = lambda x: labels.format_achievement(x, F.lit(20000.0))
     data = [12000.0, 999_500.0, -5e6, 1.5e12, 0.4, None]

@@ -24,17 +24,17 @@ def _touch(folder, name, when):
 
 def test_latest_snapshot(spark, tmp_path):
     folder = str(tmp_path)
-    _touch(folder, "PSNU_FY22-24_north.txt", 1_000_000)
-    _touch(folder, "PSNU_FY22-24_south.txt", 2_000_000)
+    _touch(folder, "RESULTS_FY22-24_north.txt", 1_000_000)
+    _touch(folder, "RESULTS_FY22-24_south.txt", 2_000_000)
     _touch(folder, "other.txt", 9_000_000)
-    assert latest_snapshot(spark, folder, "PSNU.*").endswith("/PSNU_FY22-24_south.txt")
-    assert latest_snapshot(spark, folder, "north").endswith("/PSNU_FY22-24_north.txt")
-    _touch(folder, "PSNU_FY22-24_tie.txt", 2_000_000)
-    assert latest_snapshot(spark, folder, "PSNU.*").endswith("_tie.txt")
-    _touch(folder, "PSNU_FY22-24_parts/part-0", 1_000_000)
-    _touch(folder, "PSNU_FY22-24_parts/part-1", 3_000_000)
-    assert latest_snapshot(spark, folder + "/", "PSNU.*").endswith("/PSNU_FY22-24_parts")
-    assert list_snapshots(spark, folder, "PSNU").count() == 4
+    assert latest_snapshot(spark, folder, "RESULTS.*").endswith("/RESULTS_FY22-24_south.txt")
+    assert latest_snapshot(spark, folder, "north").endswith("/RESULTS_FY22-24_north.txt")
+    _touch(folder, "RESULTS_FY22-24_tie.txt", 2_000_000)
+    assert latest_snapshot(spark, folder, "RESULTS.*").endswith("_tie.txt")
+    _touch(folder, "RESULTS_FY22-24_parts/part-0", 1_000_000)
+    _touch(folder, "RESULTS_FY22-24_parts/part-1", 3_000_000)
+    assert latest_snapshot(spark, folder + "/", "RESULTS.*").endswith("/RESULTS_FY22-24_parts")
+    assert list_snapshots(spark, folder, "RESULTS").count() == 4
     with pytest.raises(FileNotFoundError):
         latest_snapshot(spark, folder, "absent")
 
