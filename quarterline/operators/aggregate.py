@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quarterline.functions.labels import period_key, period_label
@@ -50,56 +50,73 @@ def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def exact_median(
-    df: DataFrame, category: str, value: str, accuracy: int = 10_000, margin: float = 0.001
-) -> DataFrame:
+def exact_median(df: DataFrame, category: str, value: str) -> DataFrame:
     """Exact median of ``value`` per category without gathering a category in one task.
 
-    A mergeable quantile sketch brackets the median (``margin`` is ten times the
-    sketch's rank error); a second pass counts what lies below the bracket and the
-    frequency of each value inside it, and the middle ranks are read off there.
+    Two rounds of counting narrow the values down: bins of equal ratio over all values,
+    then 4096 equal bins over what is left. Both are plain counts with map-side partial
+    sums. Only the distinct values of the last bin are put in order and read by rank.
     ``category`` must be a label set of known small size, such as a rule list.
     """
-    rows = df.select(F.col(category), F.col(value)).filter(F.col(value).isNotNull())
-    bracket = rows.groupBy(category).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx(value, [0.5 - margin, 0.5 + margin], accuracy).alias("_b"),
-    ).select(
-        F.col(category).alias("_category"), "_n",
-        F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high"),
+    v = F.col("_v")
+    rows = df.select(F.col(category).alias("_c"), F.col(value).alias("_v")).filter(v.isNotNull())
+    by_ratio = F.floor(F.signum(v) * F.log1p(F.abs(v)) * 2048)
+    ratio_bin = _middle_bin(rows.withColumns({"_n": F.lit(None).cast("bigint"), "_below": F.lit(0)}), by_ratio)
+    span = F.col("_high") - F.col("_low")
+    evenly = F.coalesce(F.floor(F.try_divide(v - F.col("_low"), span) * 4096), F.lit(0))
+    even_bin = _middle_bin(_inside(rows, ratio_bin), evenly)
+    values = (
+        _inside(rows, even_bin).groupBy("_c", "_n", "_below", "_v").agg(F.count("*").alias("_rows"))
+        .withColumn("_upto", F.col("_below") + F.sum("_rows").over(_upward("_v")))
     )
-    inside = (
-        rows.join(F.broadcast(bracket), F.col(category).eqNullSafe(F.col("_category")))
-        .filter(F.col(value) <= F.col("_high"))
-        .withColumn("_v", F.when(F.col(value) >= F.col("_low"), F.col(value)))
-        .groupBy(category, "_n", "_v")
-        .agg(F.count("*").alias("_rows"))
+    lower, upper = [F.min(F.when(F.col("_upto") >= rank, v)) for rank in _middle_ranks()]
+    return values.groupBy("_c").agg(((lower + upper) / 2).alias("median")).select(
+        F.col("_c").alias(category), "median"
     )
-    upward = (
-        Window.partitionBy(category, "_n").orderBy(F.col("_v").asc_nulls_first())
+
+
+def _middle_ranks() -> tuple[Column, Column]:
+    n = F.col("_n")
+    return F.floor((n + 1) / 2), F.floor(n / 2) + 1
+
+
+def _upward(order: str) -> WindowSpec:
+    return (
+        Window.partitionBy("_c").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = inside.withColumn("_upto", F.sum("_rows").over(upward))
 
-    def at_rank(rank: Column) -> Column:
-        # the NULL value stands for everything below the bracket and never qualifies
-        return F.min(F.when(F.col("_upto") >= rank, F.struct("_upto", "_v")))["_v"]
 
-    lower = at_rank(F.floor((F.col("_n") + 1) / 2))
-    upper = at_rank(F.floor(F.col("_n") / 2) + 1)
+def _middle_bin(rows: DataFrame, bin: Column) -> DataFrame:
+    """Per category the value range of the bins that hold its middle ranks.
+
+    ``bin`` must not fall where the value rises. ``_below`` counts the smaller rows.
+    """
+    lower, upper = _middle_ranks()
+    counted = F.coalesce(F.col("_n"), F.sum("_rows").over(Window.partitionBy("_c")))
     return (
-        ranked.groupBy(category, "_n")
-        .agg(lower.alias("_lower"), upper.alias("_upper"))
-        .select(
-            category,
-            F.when(
-                F.col("_lower").isNotNull() & F.col("_upper").isNotNull(),
-                (F.col("_lower") + F.col("_upper")) / 2,
-            ).otherwise(F.raise_error(F.lit("median outside its bracket"))).alias("median"),
+        rows.groupBy("_c", "_n", "_below", bin.alias("_bin"))
+        .agg(F.count("*").alias("_rows"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        .withColumn("_upto", F.col("_below") + F.sum("_rows").over(_upward("_bin")))
+        .withColumn("_n", counted)
+        .withColumn("_before", F.col("_upto") - F.col("_rows"))
+        .filter((F.col("_upto") >= lower) & (F.col("_before") < upper))
+        .groupBy("_c", "_n")
+        .agg(
+            F.min("_before").alias("_below"), F.min("_low").alias("_low"),
+            F.max("_high").alias("_high"),
         )
     )
 
 
+def _inside(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows within the range of their category; ``ranges`` has one row per category."""
+    one = ranges.withColumnRenamed("_c", "_category")
+    return rows.join(F.broadcast(one), F.col("_c").eqNullSafe(F.col("_category"))).filter(
+        F.col("_v").between(F.col("_low"), F.col("_high"))
+    )
+
+
 def category_order(df: DataFrame, category: str, value: str) -> DataFrame:
     """Rank of each category by descending median, ties by label: ``(category, median, mod_order)``."""
     by_median = Window.orderBy(F.col("median").desc(), F.col(category))

@@ -72,11 +72,15 @@ def test_exact_median(spark, size):
     assert got == {c: statistics.median(v for k, v in data if k == c) for c in "ab"}
 
 
-def test_exact_median_with_a_narrow_bracket(spark):
-    data = [("a", float((i * 7919) % 50_021)) for i in range(50_020)]
-    df = spark.createDataFrame(data, "c STRING, v DOUBLE").repartition(8)
-    got = exact_median(df, "c", "v", accuracy=1000, margin=0.01).first()["median"]
-    assert got == statistics.median(v for _, v in data)
+@pytest.mark.parametrize("value", [
+    "cast(id as double)", "exp(rand(3) * 40)", "cast(id % 7 as double)", "if(id < 9000, 0D, 1D)",
+    "-randn(5)", "1e9 + rand(1)", "cast(id as double) - 3000", "5D",
+])
+def test_exact_median_of_many_shapes(spark, value):
+    df = spark.range(20_001).selectExpr("if(id % 3 = 0, 'a', if(id % 1000 = 1, 'b', null)) c", f"{value} v")
+    df = spark.createDataFrame(df.collect(), "c STRING, v DOUBLE").repartition(6)
+    expected = {r["c"]: r["m"] for r in df.groupBy("c").agg(F.median("v").alias("m")).collect()}
+    assert {r["c"]: r["median"] for r in exact_median(df, "c", "v").collect()} == expected
 
 
 def test_category_order_breaks_ties_by_label(spark, rows):
