@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,19 +38,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables, the same rule under every master.
+
+    ``spark.checkpoint.dir`` where the session names one; otherwise a folder in the
+    warehouse, which all executors share by definition.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write an aggregated intermediate once to the shared checkpoint folder.
+    """Write an intermediate table once to the shared folder and read it back.
 
-    For tables that several later branches read: the fact table is scanned one
-    time, and a lost executor costs a re-read of the small result, not a re-run.
+    For tables that several later branches read: what lies before is computed one time,
+    and a lost executor costs a re-read instead of a re-run. Parquet keeps reads
+    narrow and tells the planner the real size. The folder goes when the session's JVM
+    ends; ``release`` removes it earlier.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="quarterline-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{staging_folder(spark)}/quarterline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table staged so far; only once no result that reads one is needed."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(
+        f"{staging_folder(spark)}/quarterline-{spark.sparkContext.applicationId}")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
