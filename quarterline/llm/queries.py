@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarterline.llm.near_dup import near_duplicates
+from quarterline.llm.quality_rules import apply_policy, ledger, policy_mask
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +26,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_rule_bitmask_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = apply_policy(ledger(_table(spark, sf_dir, "documents")), "v1")
+    failed = F.col("fail_bits").bitwiseAND(F.lit(policy_mask("base")).cast("bigint")) != 0
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), "kept", "fail_bits")
+
+
+ORACLE["op3_rule_bitmask_ledger"] = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT doc_id, text,
+    list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM split),
+windows AS (
+  SELECT doc_id, pos, [word, lead(word) OVER w, lead(word, 2) OVER w] AS run
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+twice AS (
+  SELECT doc_id, pos FROM windows WHERE run[3] IS NOT NULL
+  QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT pos + k) AS n FROM twice, (SELECT unnest(range(3)) AS k) GROUP BY doc_id),
+m AS (
+  SELECT s.doc_id, len(words) AS n_words, list_sum(list_transform(words, lambda x: length(x))) AS word_sum,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters,
+    length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_capitals
+  FROM split s LEFT JOIN covered c USING (doc_id)),
+bits AS (
+  SELECT *, CAST(coalesce(word_sum, 0) AS BIGINT) AS word_chars,
+    CASE WHEN n_words < 50 THEN 1 ELSE 0 END
+    + CASE WHEN n_repeat_words * 100 > n_words * 50 THEN 2 ELSE 0 END
+    + CASE WHEN coalesce(word_sum, 0) < n_words * 2 OR coalesce(word_sum, 0) > n_words * 15 THEN 4 ELSE 0 END
+    + CASE WHEN n_symbols * 100 > n_words * 30 THEN 8 ELSE 0 END
+    + CASE WHEN n_dup_lines * 100 > n_lines * 50 THEN 16 ELSE 0 END
+    + CASE WHEN n_letters * 100 < coalesce(word_sum, 0) * 60 THEN 32 ELSE 0 END
+    + CASE WHEN n_capitals * 100 > n_letters * 50 THEN 64 ELSE 0 END AS fail_bits
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits
+FROM bits
+"""
