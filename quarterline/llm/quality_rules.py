@@ -57,24 +57,26 @@ def _without(pattern: str) -> Column:
 def _repeat_words() -> Column:
     """Words that lie in a 3-word window found twice or more, first windows included.
 
-    ``windows`` holds a 64-bit hash per window. Only rows that have a repeated one sort them
-    with their positions; neighbours with equal hashes are the repeated windows, and
-    in order of position each adds the words that the one before did not cover.
+    ``windows`` holds a 64-bit hash per window. Only rows that have a repeated one go on: they
+    sort numbers made of a hash's lower bits above the window's position, neighbours with
+    equal hashes are the repeated windows, and in order of position each adds the words that
+    the one before did not cover.
     """
     n = F.size("windows")
-    placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    pairs = F.transform(
-        F.arrays_zip(
-            placed.alias("own"),
-            F.concat(F.slice(placed, 2, n), F.array(F.lit(None))).alias("after"),
-            F.slice(F.concat(F.array(F.lit(None)), placed), 1, n).alias("before"),
-        ),
-        lambda x: F.when((x["own"]["h"] == x["after"]["h"]) | (x["own"]["h"] == x["before"]["h"]), x["own"]["i"]),
-    )
-    at = F.array_sort(F.filter(pairs, lambda i: i.isNotNull()))
+    bits = F.length(F.bin(n))
+    position = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+    tagged = F.sort_array(F.transform(
+        "windows", lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("bigint"))))
+    alike = F.filter(
+        F.zip_with(
+            tagged, F.slice(tagged, 2, n),
+            lambda a, b: F.when(
+                F.call_function("shiftright", a.bitwiseXOR(b), bits) == 0, F.array(a, b))),
+        lambda pair: pair.isNotNull())
+    at = F.sort_array(F.array_distinct(F.transform(F.flatten(alike), lambda x: x.bitwiseAND(position))))
     steps = F.zip_with(at, F.slice(at, 2, n), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    covered = F.aggregate(steps, F.lit(0), lambda total, step: total + step)
-    return F.when(F.size(F.array_distinct("windows")) < n, covered).otherwise(0).cast("bigint")
+    covered = F.aggregate(steps, F.lit(0).cast("bigint"), lambda total, step: total + step)
+    return F.when(F.size(F.array_distinct("windows")) < n, covered).otherwise(0)
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -89,7 +91,6 @@ def ledger(docs: DataFrame) -> DataFrame:
     worded = texts.withColumns({
         "words": F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE)),
         "lines": F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
-        "word_chars": _without(WHITE).cast("bigint"),
         "n_symbols": (F.length("text") - _without(r"[#*$%&|<>]+")).cast("bigint"),
         "n_letters": _without(r"[^\p{L}]+").cast("bigint"),
         "n_capitals": _without(r"[^\p{Lu}]+").cast("bigint"),
@@ -99,7 +100,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         F.zip_with("words", F.slice("words", 2, n), lambda a, b: F.xxhash64(a, b)),
         F.slice("words", 3, n), lambda ab, c: F.xxhash64(ab, c))
     measured = worded.select(
-        "doc_id", "word_chars", "n_symbols", "n_letters", "n_capitals",
+        "doc_id", F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"), "n_symbols", "n_letters", "n_capitals",
         n.cast("bigint").alias("n_words"),
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),

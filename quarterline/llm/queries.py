@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarterline.llm.near_dup import near_duplicates
 from quarterline.llm.quality_rules import apply_policy, ledger, policy_mask
+from quarterline.llm.secret_scan import corpus_samples, find_secrets, listed, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +76,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits
 FROM bits
 """
+
+
+@_query
+def op10_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, train(corpus_samples(docs)))
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    counts = [
+        F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+        for kind in ("assign", "access", "hex")
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
