@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterline.llm.near_dup import near_duplicates
+from quarterline.llm.packing import pack_documents
 from quarterline.llm.quality_rules import apply_policy, ledger, policy_mask
 from quarterline.llm.secret_scan import corpus_samples, find_secrets, listed, train
 
@@ -20,6 +21,13 @@ def _query(function):
     return function
 
 
+def tokenizer_path() -> str:
+    """Place of the public vocabulary file; imported late, only packing needs the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,3 +97,8 @@ def op10_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     return found.select(
         "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@_query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
