@@ -12,9 +12,12 @@ Candidates are found the way a merge of posting lists with a count threshold fin
   looked up under its ``K - T + 1`` rarest postings (prefix), and the frequent lists are skipped;
 * the collisions of the pairs found are then counted on the two signatures.
 
-A list is first joined with its smallest member alone. Pairs of members that this has not
-already connected follow; so a list of thousands of near copies costs a star and not
-all its pairs, and no link between groups is lost.
+A list is first joined with one member alone, the one that shares most of its coordinates. Of the
+pairs that this has not connected already, those in short lists are compared. In a long list (a third
+of all rows may be near copies of one text) the rest are found through their differences from
+that member: two sets that both lie near it can only be similar if their differences
+coincide enough, and differences that few sets share are looked up first. So no list is
+unfolded into its pairs, and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ T = 36
 WIDTH = 4
 #: links need 100 * shared >= PERCENT * union
 PERCENT = 80
+#: members up to which the pairs of a posting list are compared one by one
+SHORT = 48
+#: ids up to which a list of them is broadcast (8 bytes each)
+BROADCAST_IDS = 1_000_000
 
 _SEEDS = np.random.default_rng(7)
 _TIMES = _SEEDS.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,7 +112,7 @@ def _matches(a: Column, b: Column) -> Column:
 
 
 def prefix_postings(sets: DataFrame) -> DataFrame:
-    """(at, value, id, n_shingles): each set's rarest postings that a partner must share one of."""
+    """(at, value, id, n_shingles, n_shared): each set's rarest postings, one of which a partner must share."""
     posted = sets.select("id", "n_shingles", F.posexplode("signature").alias("at", "value"))
     shared = posted.groupBy("at", "value").agg(F.count("*").alias("length")).filter("length > 1")
     rarest = Window.partitionBy("id").orderBy("length", "at")
@@ -115,33 +122,111 @@ def prefix_postings(sets: DataFrame) -> DataFrame:
         .withColumn("place", F.row_number().over(rarest))
         .withColumn("n_shared", F.count("*").over(whole))
         .filter(F.col("place") <= F.col("n_shared") - (T - 1))
-        .select("at", "value", "id", "n_shingles")
+        .select("at", "value", "id", "n_shingles", "n_shared")
     )
 
 
-def _fits(a: str, b: str) -> Column:
-    """Sizes that allow the similarity: the smaller set is at least that share of the larger."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, members) of the documents in ``ids``, members as sorted 64-bit hashes.
+
+    A list of ids that fits is sent to the texts; a longer one meets them in a shuffle.
+    """
+    wanted = ids.select(F.col("id").alias("doc_id")).distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return stage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "id bigint, members binary"))
+
+
+def _with_members(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    return pairs.join(
+        full.select(F.col("id").alias("b"), F.col("members").alias("b_members")), "b"
+    ).join(full.select(F.col("id").alias("a"), F.col("members").alias("a_members")), "a")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
+def _links(pairs: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that collide often enough and whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("signature").alias("a_signature"))
     right = sets.select(F.col("id").alias("b"), F.col("signature").alias("b_signature"))
-    close = stage(
+    close = (
         pairs.join(right, "b").join(left, "a")
         .filter(_matches(F.col("a_signature"), F.col("b_signature")) >= T).select("a", "b")
     )
-    wanted = close.select(F.col("a").alias("doc_id")).unionAll(close.select("b")).distinct()
-    full = stage(
-        docs.select("doc_id", "text").join(wanted, "doc_id")
-        .mapInArrow(_sets(width), "id bigint, members binary")
-    )
-    both = (
-        close.join(full.select(F.col("id").alias("b"), F.col("members").alias("b_members")), "b")
-        .join(full.select(F.col("id").alias("a"), F.col("members").alias("a_members")), "a")
-    )
-    return both.mapInArrow(_similar, "a bigint, b bigint")
+    return _with_members(close, full).mapInArrow(_similar, "a bigint, b bigint")
+
+
+def _open_lists(placed: DataFrame) -> DataFrame:
+    """Entries of lists with several components, with their list's length, head and largest component."""
+    held = placed.groupBy("at", "value", "component").agg(
+        F.count("*").alias("held"), F.min(F.struct(-F.col("n_shared"), "id")).alias("head"))
+    lists = held.groupBy("at", "value").agg(
+        F.count("*").alias("parts"), F.sum("held").alias("length"),
+        F.max(F.struct("held", "component")).alias("top"), F.min("head").alias("head"))
+    lists = lists.filter("parts > 1").select(
+        "at", "value", "length", F.col("top.component").alias("main"), F.col("head.id").alias("head"))
+    return placed.join(lists, ["at", "value"])
+
+
+def _short_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of one list of at most ``SHORT`` members whose components differ and whose sizes fit."""
+    entry = ("at", "value", "id", "component", "n_shingles")
+    x = members.filter("component <> main").select("at", "value", *[F.col(c).alias(f"x_{c}") for c in entry[2:]])
+    y = members.select("at", "value", *[F.col(c).alias(f"y_{c}") for c in entry[2:]])
+    sizes = (F.col("x_n_shingles"), F.col("y_n_shingles"))
+    fits = F.least(*sizes) * 100 >= F.greatest(*sizes) * PERCENT
+    return x.join(y, ["at", "value"]).filter((F.col("x_component") != F.col("y_component")) & fits).select(
+        F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+
+def _differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sizes, differences): what b lacks of its head a, marked, and what it has beyond."""
+    for part in parts:
+        a_sizes, b_sizes, found = [], [], []
+        for a, b in zip(part.column("a_members"), part.column("b_members")):
+            x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (a, b))
+            lacking = np.setdiff1d(x, y, assume_unique=True) ^ _TIMES[0]
+            found.append(np.concatenate((lacking, np.setdiff1d(y, x, assume_unique=True))).view(np.int64))
+            a_sizes.append(len(x))
+            b_sizes.append(len(y))
+        yield pa.RecordBatch.from_arrays([
+            part.column("a"), part.column("b"), pa.array(a_sizes, pa.int64()), pa.array(b_sizes, pa.int64()),
+            pa.array(found, pa.list_(pa.int64())),
+        ], names=["head", "id", "head_size", "size", "differences"])
+
+
+def _long_pairs(members: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs of long lists that may be linked, by their differences from the list's head.
+
+    Sets of sizes n and m are linked if and only if they differ in at most (n + m) / 9 elements. With
+    d(x) the number of differences of x from the head, x and y differ in d(x) + d(y) less twice
+    the differences they share. Sets linked with the head are connected already, so one
+    of the two, x, has d(x) above (n(x) + n(head)) / 9. Then the shared differences number at least
+    0.9 * (d(x) - (n(x) + n(head)) / 9) and 4/9 of d(y), which bounds how many of the rarest differences
+    of each must be looked up, and the places of the first one found bound how many can follow.
+    """
+    family = members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    apart = stage(_with_members(family, full).mapInArrow(
+        _differences, "head bigint, id bigint, head_size bigint, size bigint, differences array<bigint>"))
+    each = apart.select(
+        "head", "id", "size", F.size("differences").alias("d"),
+        (F.size("differences") * 9 <= F.col("size") + F.col("head_size")).alias("linked"),
+        (F.size("differences") - (F.col("size") + F.col("head_size")) / 9).alias("beyond"),
+        F.explode("differences").alias("value"))
+    shared = each.groupBy("head", "value").agg(F.count("*").alias("length")).filter("length > 1")
+    whole = Window.partitionBy("head", "id")
+    least = F.when(F.col("linked"), F.col("d") * 4 / 9).otherwise(F.col("beyond") * 0.9)
+    entries = stage(
+        each.join(shared, ["head", "value"])
+        .withColumn("place", F.col("d") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("length", "value")))
+        .filter(F.col("place") <= F.col("d") - F.greatest(F.ceil(least - 1e-6), F.lit(1)) + 1)
+        .select("head", "value", "id", "size", "d", "linked", "place"))
+    x = entries.filter(~F.col("linked")).select("head", "value", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "d", "place")])
+    y = entries.select("head", "value", *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "d", "place", "linked")])
+    needed = F.col("x_d") + F.col("y_d") - (F.col("x_size") + F.col("y_size")) / 9
+    possible = 2 * (F.least(F.col("x_d") - F.col("x_place"), F.col("y_d") - F.col("y_place")) + 1)
+    once = F.col("y_linked") | (F.col("x_id") < F.col("y_id"))
+    return x.join(y, ["head", "value"]).filter(
+        (F.col("x_id") != F.col("y_id")) & once & (possible >= needed - 1e-6)
+    ).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -163,22 +248,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .dropDuplicates(["id", "set_key"]).select("id", "n_shingles", "set_key", "signature")
     )
     postings = stage(prefix_postings(sets))
-    lists = postings.groupBy("at", "value").agg(F.min("id").alias("a"))
-    stars = (
-        postings.join(lists, ["at", "value"]).filter(F.col("id") > F.col("a"))
-        .select("a", F.col("id").alias("b")).distinct()
-    )
-    links = stage(_links(stars, sets, docs, width))
+    full = full_sets(docs, postings, width)
+    heads = postings.groupBy("at", "value").agg(F.min(F.struct(-F.col("n_shared"), "id"))["id"].alias("head"))
+    stars = postings.join(heads, ["at", "value"]).filter(F.col("id") != F.col("head")).select(
+        F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    links = stage(_links(stars, sets, full))
     first = components(links)
-    placed = postings.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = stage(_links(_unconnected(placed), sets, docs, width))
-    # rows of one class, and rows with one doc_id, hang together
+    members = stage(_open_lists(
+        postings.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))))
+    rest = _short_pairs(members.filter(F.col("length") <= SHORT)).unionAll(
+        _long_pairs(members.filter(F.col("length") > SHORT), full)).distinct()
+    # rows of one class hang together, and so do rows with one doc_id
     own = worded.select("set_key", F.col("doc_id").alias("b")).join(classes, "set_key").select(F.col("id").alias("a"), "b")
-    repeated = own.join(own.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("b"), "b", "left_semi")
+    renamed = own.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low <> high")
+    repeated = own.join(renamed.select("b"), "b", "left_semi").select("a", "b")
     merged = components(
-        links.unionAll(rest).unionAll(first.select(F.col("component").alias("a"), F.col("id").alias("b")))
-        .unionAll(repeated.select("a", "b"))
-    )
+        _links(rest, sets, full).unionAll(first.select(F.col("component").alias("a"), F.col("id").alias("b")))
+        .unionAll(repeated))
     named = classes.join(merged, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     found = signed.join(named, "set_key", "left").withColumn(
         "component_id",
@@ -186,23 +272,3 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return found.select(
         "doc_id", "n_shingles", "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _unconnected(placed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one list whose components differ, each with one in a smaller component.
-
-    Only lists with several components remain. In such a list the members outside its
-    largest component meet all others; members of the largest never meet each other.
-    """
-    held = placed.groupBy("at", "value", "component").agg(F.count("*").alias("held"))
-    per_list = held.groupBy("at", "value").agg(
-        F.count("*").alias("parts"), F.max(F.struct("held", "component")).alias("top"))
-    open_lists = per_list.filter("parts > 1").select("at", "value", F.col("top.component").alias("main"))
-    members = placed.join(open_lists, ["at", "value"])
-    minor = members.filter("component <> main").select(
-        "at", "value", F.col("id").alias("x"), F.col("component").alias("x_component"), F.col("n_shingles").alias("x_size"))
-    other = members.select(
-        "at", "value", F.col("id").alias("y"), F.col("component").alias("y_component"), F.col("n_shingles").alias("y_size"))
-    pairs = minor.join(other, ["at", "value"]).filter(
-        (F.col("x_component") != F.col("y_component")) & _fits("x_size", "y_size"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
