@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarterline.llm.fingerprints import fingerprints
 from quarterline.llm.near_dup import near_duplicates
 from quarterline.llm.packing import pack_documents
 from quarterline.llm.quality_rules import apply_policy, ledger, policy_mask
@@ -102,3 +103,8 @@ def op10_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@_query
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
