@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterline.llm.fingerprints import fingerprints
+from quarterline.llm.language_id import fit as fit_languages
+from quarterline.llm.language_id import identify
 from quarterline.llm.near_dup import near_duplicates
 from quarterline.llm.packing import pack_documents
 from quarterline.llm.quality_rules import apply_policy, ledger, policy_mask
@@ -108,3 +110,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    docs = _table(spark, sf_dir, "documents")
+    training = docs.filter(~held_out).select(F.col("doc_id").cast("string").alias("key"), "text", "lang")
+    found = identify(docs, fit_languages(training))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
