@@ -11,6 +11,8 @@ from quarterline.llm.fingerprints import fingerprints
 from quarterline.llm.language_id import fit as fit_languages
 from quarterline.llm.language_id import identify
 from quarterline.llm.near_dup import near_duplicates
+from quarterline.llm.ordinal_quality import fit as fit_grades
+from quarterline.llm.ordinal_quality import graded, grades_of
 from quarterline.llm.packing import pack_documents
 from quarterline.llm.quality_rules import apply_policy, ledger, policy_mask
 from quarterline.llm.secret_scan import corpus_samples, find_secrets, listed, train
@@ -119,3 +121,9 @@ def op6_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
     training = docs.filter(~held_out).select(F.col("doc_id").cast("string").alias("key"), "text", "lang")
     found = identify(docs, fit_languages(training))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_query
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return graded(docs, fit_grades(docs, grades_of(_table(spark, sf_dir, "labels"))))
