@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarterline.llm.fingerprints import fingerprints
 from quarterline.llm.language_id import fit as fit_languages
 from quarterline.llm.language_id import identify
+from quarterline.llm.mixing import mixed
 from quarterline.llm.near_dup import near_duplicates
 from quarterline.llm.ordinal_quality import fit as fit_grades
 from quarterline.llm.ordinal_quality import graded, grades_of
@@ -127,3 +128,8 @@ def op6_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return graded(docs, fit_grades(docs, grades_of(_table(spark, sf_dir, "labels"))))
+
+
+@_query
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents"), max_repeat=2.0)
