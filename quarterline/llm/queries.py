@@ -15,8 +15,11 @@ from quarterline.llm.near_dup import near_duplicates
 from quarterline.llm.ordinal_quality import fit as fit_grades
 from quarterline.llm.ordinal_quality import graded, grades_of
 from quarterline.llm.packing import pack_documents
+from quarterline.llm.perspectives import views
 from quarterline.llm.quality_rules import apply_policy, ledger, policy_mask
 from quarterline.llm.secret_scan import corpus_samples, find_secrets, listed, train
+from quarterline.llm.wrappers import host_wrappers, main_texts
+from quarterline.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +136,34 @@ def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents"), max_repeat=2.0)
+
+
+@_query
+def op8_union_free_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return main_texts(pages, stage(host_wrappers(pages)))
+
+
+@_query
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(_table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op1_perspective_rotation"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
+seen AS (
+  SELECT t.*, s.speaker, t.role = s.speaker AS own,
+    '<|im_start|>' || CASE WHEN t.role = 'system' THEN t.role WHEN t.role = s.speaker THEN 'assistant'
+      ELSE 'user name=' || t.role END || chr(10) || t.text || '<|im_end|>' || chr(10) AS segment
+  FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+placed AS (
+  SELECT *, length(segment) AS length, row_number() OVER w - 1 AS position,
+    CAST(sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) - length(segment) AS BIGINT) AS start
+  FROM seen WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, speaker, position, role, segment, start, length,
+  CASE WHEN own THEN start + length('<|im_start|>assistant') + 1 END AS mask_start,
+  CASE WHEN own THEN start + length - 1 END AS mask_end
+FROM placed
+"""
