@@ -155,9 +155,13 @@ def _links(pairs: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def _open_lists(placed: DataFrame) -> DataFrame:
-    """Entries of lists with several components, with their list's length, head and largest component."""
+    """Entries of lists with several components, with their list's length, head and largest component.
+
+    The head is the member with most links; it lies near the middle of a group of copies, so most
+    lists of the group share it.
+    """
     held = placed.groupBy("at", "value", "component").agg(
-        F.count("*").alias("held"), F.min(F.struct(-F.col("n_shared"), "id")).alias("head"))
+        F.count("*").alias("held"), F.min(F.struct(-F.col("degree"), -F.col("n_shared"), "id")).alias("head"))
     lists = held.groupBy("at", "value").agg(
         F.count("*").alias("parts"), F.sum("held").alias("length"),
         F.max(F.struct("held", "component")).alias("top"), F.min("head").alias("head"))
@@ -254,8 +258,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     links = stage(_links(stars, sets, full))
     first = components(links)
-    members = stage(_open_lists(
-        postings.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))))
+    degrees = links.unionAll(links.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("id")).agg(
+        F.count("*").alias("degree"))
+    placed = postings.join(first.join(degrees, "id"), "id", "left")
+    members = stage(_open_lists(placed.withColumns({
+        "component": F.coalesce("component", "id"), "degree": F.coalesce("degree", F.lit(0))})))
     rest = _short_pairs(members.filter(F.col("length") <= SHORT)).unionAll(
         _long_pairs(members.filter(F.col("length") > SHORT), full)).distinct()
     # rows of one class hang together, and so do rows with one doc_id
