@@ -34,9 +34,12 @@ def whole(column: Column) -> Column:
 
 
 def _plain(column: Column) -> Column:
-    """A double to at most twelve decimals, without exponent, separators or trailing zeros."""
-    decimals = F.format_number(column + F.lit(0.0), 12)  # adding 0 turns -0 into 0
-    return F.regexp_replace(decimals, r",|\.?0+$", "")
+    """A double to 14 digits: without exponent where twelve decimals hold them, without separators or trailing zeros."""
+    value = column + F.lit(0.0)  # adding 0 turns -0 into 0
+    decimals = F.regexp_replace(F.format_number(value, 12), r",|\.?0+$", "")
+    exact = F.regexp_replace(F.lower(value.cast("string")), r"\.0(?=e|$)", "")
+    close = F.abs(decimals.cast("double") - value) <= F.abs(value) * 1e-14
+    return F.when(close, decimals).otherwise(exact)
 
 
 def clean_number(column: Column, digits: int = 0, na_text: str | None = None) -> Column:

@@ -112,7 +112,7 @@ def _middle_bin(rows: DataFrame, bin: Column) -> DataFrame:
 def _inside(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows within the range of their category; ``ranges`` has one row per category."""
     one = ranges.withColumnRenamed("_c", "_category")
-    return rows.join(F.broadcast(one), F.col("_c").eqNullSafe(F.col("_category"))).filter(
+    return rows.join(one, F.col("_c").eqNullSafe(F.col("_category"))).filter(
         F.col("_v").between(F.col("_low"), F.col("_high"))
     )
 

@@ -32,11 +32,10 @@ def compare_columns(x: DataFrame, y: DataFrame) -> DataFrame:
     )
     n_x, n_y = F.col("n_x_not_y"), F.col("n_y_not_x")
     message: Column = F.when(
-        (n_x == 0) & (n_y == 0), F.lit("There are no differences between the columns")
+        (n_x == 0) & (n_y == 0), F.lit("both hold the same values")
     ).otherwise(
         F.concat(
-            n_x.cast("string"), F.lit(" differences between x and y; "),
-            n_y.cast("string"), F.lit(" differences between y and x"),
+            F.lit("only in x: "), n_x.cast("string"), F.lit(", only in y: "), n_y.cast("string"),
         )
     )
     return counts.withColumn("message", message)
@@ -57,13 +56,20 @@ def fix_mech_names(df: DataFrame, crosswalk: DataFrame, check_keys: bool = False
         once = F.assert_true(F.col("_n") == 1, F.lit("crosswalk lists a mechanism twice"))
         crosswalk = names.filter(once.isNull()).drop("_n")
     joined = df.join(crosswalk, null_safe_equal(df, crosswalk, keys), "left")
+    short = crosswalk["mech_name_short"]
     return joined.select(
-        *[df[name] for name in df.columns if name != "mech_name"],
-        F.coalesce(crosswalk["mech_name_short"], df["mech_name"]).alias("mech_name"),
-        crosswalk["mech_name_short"],
+        *[
+            F.coalesce(short, df[name]).alias(name) if name == "mech_name" else df[name]
+            for name in df.columns if name != "mech_name_short"
+        ],
+        short,
     )
 
 
 def map_mech_names(df: DataFrame, mechanisms: DataFrame) -> DataFrame:
-    """Attach agency, partner and mechanism name by mechanism code; unknown codes stay."""
-    return df.join(mechanisms, "mech_code", "left")
+    """Attach agency, partner and mechanism name by mechanism code; unknown codes stay.
+
+    Names that ``df`` has already give way to those of the mechanism list.
+    """
+    given = [name for name in mechanisms.columns if name != "mech_code"]
+    return df.drop(*given).join(mechanisms, "mech_code", "left")

@@ -69,3 +69,29 @@ def complete_grid(
     )
     unique = F.assert_true(F.col("_rows") <= 1, F.lit("complete_grid: more than one row per cell"))
     return merged.filter(unique.isNull()).select(*df.columns)
+
+
+def complete_series(
+    df: DataFrame, keys: Sequence[str], order: str, labels: Sequence[str] = ()
+) -> DataFrame:
+    """Add a row, NULL in the other columns, for every value of ``order`` that a group lacks
+    before its last one.
+
+    Groups are the combinations of ``keys`` that ``df`` has; no product of them is made.
+    The values of ``order`` in the table, with their ``labels`` columns, are few (periods) and
+    travel as a constant list. ``df`` holds at most one row per group and value; a duplicate raises.
+    """
+    dimension = [order, *labels]
+    values = df.agg(F.sort_array(F.collect_set(F.struct(*dimension))).alias("v")).scalar()
+    last = df.groupBy(*keys).agg(F.max(order).alias("_last"))
+    cells = last.select(*keys, "_last", F.explode(values).alias("_d")).filter(
+        F.col(f"_d.{order}") <= F.col("_last")).select(*keys, "_d.*")
+    cell = [*keys, *dimension]
+    others = [name for name in df.columns if name not in cell]
+    merged = (
+        df.withColumn("_row", F.lit(1)).unionByName(cells, allowMissingColumns=True)
+        .groupBy(*cell)
+        .agg(F.count("_row").alias("_rows"), *[F.max(name).alias(name) for name in others])
+    )
+    unique = F.assert_true(F.col("_rows") <= 1, F.lit("complete_series: more than one row per cell"))
+    return merged.filter(unique.isNull()).select(*df.columns)

@@ -70,12 +70,26 @@ def reshape_quarters(df: DataFrame, keep: Sequence[str] | None = None) -> DataFr
     )
 
 
+#: columns a pivot may have, and what a NULL name is called there
+MOST_NAMES, NO_NAME = 1000, "NA"
+
+
 def pivot_sum(
-    df: DataFrame, ids: Sequence[str], names_from: str, values_from: str, names: Sequence[str]
+    df: DataFrame, ids: Sequence[str], names_from: str, values_from: str, names: Sequence[str] = ()
 ) -> DataFrame:
-    """Sum to one column per listed name; a combination with no row at all stays NULL."""
-    wide = df.groupBy(*ids).pivot(names_from, list(names)).agg(total(values_from))
-    return wide.select(*ids, *[F.col(f"`{name}`").cast("double") for name in names])
+    """Sum to one column per value of ``names_from``; a combination with no row at all stays NULL.
+
+    Listed names come first and in their order, with a column even where no row has them.
+    Values that are not listed follow, sorted, and NULL as ``NA``: nothing is left out. The
+    values are read by one job over one column; more than ``MOST_NAMES`` raise.
+    """
+    found = [row[0] for row in df.select(names_from).distinct().limit(MOST_NAMES + 1).collect()]
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"{names_from} has more than {MOST_NAMES} values")
+    columns = list(names) + sorted({NO_NAME if name is None else name for name in found} - set(names))
+    named = df.withColumn(names_from, F.coalesce(names_from, F.lit(NO_NAME)))
+    wide = named.groupBy(*ids).pivot(names_from, columns).agg(total(values_from))
+    return wide.select(*ids, *[F.col(f"`{name}`").cast("double") for name in columns])
 
 
 def level_rank(column: Column, levels: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarterline.functions import classify
 from quarterline.operators.aggregate import category_order, sum_across
-from quarterline.operators.grid import complete_grid
+from quarterline.operators.grid import complete_series
 from quarterline.operators.ordered import fill_up
 from quarterline.operators.reshape import reshape_long
 from quarterline.operators.shares import (
@@ -56,20 +56,20 @@ def on_grid(
     begin_period: str,
     note: str,
 ) -> DataFrame:
-    """Order, complete, fill, total, colour and prune ``shared``, the shares of ``periods``.
+    """Order, complete, fill, total and colour ``shared``, the shares of ``periods``.
 
-    Ranks fill upwards only, so a group loses its rows after its last period with
-    data while earlier gaps stay, with NULL values; totals are taken before that.
+    A group has a row for every period up to its last one with data, earlier gaps with NULL
+    values. Groups without data, which a full grid would add, have no row to add to a total.
     """
     order = category_order(periods, "mod_type", "value").select(
         F.col("mod_type").alias("_type"), "mod_order"
     )
     ordered = (
         start_end(shared)
-        .join(F.broadcast(order), F.col("mod_type").eqNullSafe(F.col("_type")), "left")
+        .join(order, F.col("mod_type").eqNullSafe(F.col("_type")), "left")
         .drop("_type")
     )
-    grid = complete_grid(ordered, keys, across=["mod_type", ("period_key", "period")])
+    grid = complete_series(ordered, ["mod_type", *keys], "period_key", ["period"])
     filled = fill_up(grid, "mod_order", ["mod_type", *keys], "period_key")
     starts = (F.col("mod_type") == "Index") & (F.col("period") == begin_period)
     return (

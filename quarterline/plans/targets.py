@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterline.functions.classify import age_coarse
 from quarterline.functions.labels import clean_agency, clean_indicator
 from quarterline.functions.predicates import not_in
 from quarterline.operators.reshape import custom_order, pivot_sum
@@ -41,40 +42,52 @@ def _selected(df: DataFrame, year: int, indicators: Sequence[str]) -> DataFrame:
     )
 
 
+def _with_age(df: DataFrame, ids: list[str], by_age: bool) -> tuple[DataFrame, list[str]]:
+    if not by_age:
+        return df, ids
+    return df.withColumn("trendscoarse", age_coarse(F.col("ageasentered"))), [*ids, "trendscoarse"]
+
+
 def table_prioritization(
     df: DataFrame,
     year: int,
-    prioritizations: Sequence[str],
+    prioritizations: Sequence[str] = (),
     indicators: Sequence[str] = PRIORITIZATION_INDICATORS,
     levels: Sequence[str] = INDICATOR_ORDER,
     disaggregates_out: Sequence[str] = KEY_POPULATION_DISAGGREGATES,
+    by_age: bool = False,
 ) -> DataFrame:
     """Targets by indicator and disaggregate, one column per prioritisation, gaps as 0.
 
-    Rows without a disaggregate stay in.
+    Rows without a disaggregate stay in. Listed prioritisations come first, others follow.
+    ``by_age`` adds the coarse age to the keys, as ``trendscoarse``.
     """
+    ids = ["fiscal_year", "indicator", "standardizeddisaggregate"]
     rows = _selected(df, year, indicators).filter(
         not_in(F.col("standardizeddisaggregate"), disaggregates_out)
     )
-    wide = pivot_sum(
-        rows, ["fiscal_year", "indicator", "standardizeddisaggregate"],
-        "snuprioritization", "targets", prioritizations,
-    ).fillna(0.0, subset=list(prioritizations))
+    rows, ids = _with_age(rows, ids, by_age)
+    wide = pivot_sum(rows, ids, "snuprioritization", "targets", prioritizations)
+    wide = wide.fillna(0.0, subset=[name for name in wide.columns if name not in ids])
     return custom_order(wide, "indicator", levels)
 
 
 def table_agency(
     df: DataFrame,
     year: int,
-    agencies: Sequence[str],
+    agencies: Sequence[str] = (),
     indicators: Sequence[str] = AGENCY_INDICATORS,
     levels: Sequence[str] = INDICATOR_ORDER,
+    clean: bool = True,
+    by_age: bool = False,
 ) -> DataFrame:
-    """Targets by indicator, one column per agency."""
-    rows = _selected(df, year, indicators).withColumn(
-        "funding_agency", clean_agency(F.col("funding_agency"))
-    )
-    wide = pivot_sum(
-        rows, ["fiscal_year", "indicator"], "funding_agency", "targets", agencies
-    )
+    """Targets by indicator, one column per agency; listed agencies first, others follow.
+
+    ``clean`` merges the spellings of an agency's name; without it each has its own column.
+    """
+    rows = _selected(df, year, indicators)
+    if clean:
+        rows = rows.withColumn("funding_agency", clean_agency(F.col("funding_agency")))
+    rows, ids = _with_age(rows, ["fiscal_year", "indicator"], by_age)
+    wide = pivot_sum(rows, ids, "funding_agency", "targets", agencies)
     return custom_order(wide, "indicator", levels)

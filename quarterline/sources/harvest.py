@@ -64,31 +64,120 @@ def request_url(base_url: str) -> Column:
     return F.concat(F.lit(base_url), *parts)
 
 
-def parse_payloads(responses: DataFrame, carry: Sequence[str], schema: str = AREA_LINE) -> DataFrame:
-    """Lines of each CSV payload, with ``line_no`` from 1 and the request's own columns.
+def _records(payload: Column) -> Column:
+    """Lines of a CSV text, quoted line breaks kept inside their line; NULL where a quote stays open.
 
-    The header must name the columns of ``schema`` in its order, otherwise the job
-    fails: a payload that is an error message must not pass as data. Quoted line
-    breaks are not supported. Lines are cut and parsed where the payload lies,
-    without a shuffle; numbers that do not parse become NULL.
+    A line break inside quotes follows an odd number of quotes. Cut at quotes, every second
+    piece is quoted text, in which breaks are hidden before the text is cut at the others.
     """
-    names = [part.split()[0] for part in schema.split(",")]
-    first_line = F.substring_index("payload", "\n", 1)
-    header = F.regexp_replace(F.lower(first_line), r'["\s]', "")
-    found = F.concat(F.lit("payload header: "), F.coalesce(header, F.lit("none")))
-    expected = F.assert_true(header == ",".join(names), found)
-    rows = (
-        responses.filter(expected.isNull())
-        .select(*carry, F.posexplode(F.split("payload", r"\r?\n")).alias("line_no", "_line"))
-        .filter((F.col("line_no") > 0) & (F.col("_line") != ""))
-        .select(*carry, "line_no", F.from_csv("_line", F.lit(schema)).alias("_row"))
-    )
-    return rows.select(
-        *carry, "line_no", F.col("_row.area").alias("area"),
-        *[number(F.col(f"_row.{name}")).alias(name) for name in names if name != "area"],
+    pieces = F.split(F.regexp_replace(payload, r"\r\n?", "\n"), '"', -1)
+    hidden = F.transform(pieces, lambda piece, i: F.when(
+        i % 2 == 1, F.translate(piece, "\n", _HIDDEN)).otherwise(piece))
+    lines = F.split(F.array_join(hidden, '"'), "\n", -1)
+    return F.when(F.size(pieces) % 2 == 1, F.filter(lines, lambda line: line != ""))
+
+
+def _fields(line: Column) -> Column:
+    """Fields of one line without their quotes; two quotes inside a quoted field are one."""
+    pieces = F.split(line, '"', -1)
+    marked = F.transform(pieces, lambda piece, i: F.when(
+        i % 2 == 0, F.translate(piece, ",", _NEXT)).otherwise(piece))
+    fields = F.split(F.array_join(marked, '"'), _NEXT, -1)
+    quoted = F.transform(fields, lambda field: F.when(
+        field.contains('"'),
+        F.translate(F.replace(F.regexp_replace(F.btrim(field), r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')), _HIDDEN, "\n"),
+    ).otherwise(field))
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1))
+
+
+#: stand-ins for a quoted line break and for a comma between fields; control characters of no text
+_HIDDEN, _NEXT = "\x1e", "\x1f"
+
+
+def payload_problem(schema: str = AREA_LINE) -> Column:
+    """Why ``payload``, cut into ``_table``, is no table of at least the columns of ``schema``; NULL if it is one."""
+    lines = F.col("_table")
+    head = F.transform(F.get(lines, F.lit(0)), lambda name: F.lower(F.btrim(name)))
+    wanted = F.array(*[F.lit(part.split()[0]) for part in schema.split(",")])
+    ragged = F.exists(
+        F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda line: F.size(line) != F.size(F.get(lines, F.lit(0))))
+    return (
+        F.when(F.col("payload").isNull(), F.lit("no payload"))
+        .when(lines.isNull(), F.lit("a quote is not closed"))
+        .when(F.size(lines) == 0, F.lit("empty payload"))
+        .when(F.size(F.array_except(wanted, head)) > 0, F.concat(
+            F.lit("missing columns: "), F.array_join(F.array_except(wanted, head), ", ")))
+        .when(F.size(F.array_distinct(head)) < F.size(head), F.lit("a column twice"))
+        .when(ragged, F.lit("a line with another number of fields"))
     )
 
 
+def _read(responses: DataFrame, schema: str) -> DataFrame:
+    """Responses with ``_table``, the fields of their records, and ``problem``."""
+    cut = responses.withColumn("_table", F.transform(_records(F.col("payload")), _fields))
+    return cut.withColumn("problem", payload_problem(schema))
+
+
+def failed_requests(responses: DataFrame, carry: Sequence[str], schema: str = AREA_LINE) -> DataFrame:
+    """Requests whose payload is no table, with the ``problem``; the other side of ``on_problem="skip"``."""
+    return _read(responses, schema).filter(F.col("problem").isNotNull()).select(*carry, "problem")
+
+
+def parse_payloads(
+    responses: DataFrame, carry: Sequence[str], schema: str = AREA_LINE, on_problem: str = "skip",
+    name: str | None = "area",
+) -> DataFrame:
+    """Lines of each CSV payload, with ``line_no`` from 1 and the request's own columns.
+
+    Columns are found by their name in the header, in any order; those that ``schema`` does not
+    name are ignored. Quoted commas, quotes and line breaks belong to their field. A payload
+    that is no such table (NULL, an error message, an open quote, a line with another number of fields) has
+    no rows here and a reason in ``failed_requests``; with ``on_problem="fail"`` it fails the job.
+    Numbers that do not parse become NULL. Lines are cut where the payload lies, without a shuffle.
+    """
+    return _lines(responses, carry, schema, on_problem, name, None).select(*carry, "line_no", *_names(schema))
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]
+
+
+def _lines(
+    responses: DataFrame, carry: Sequence[str], schema: str, on_problem: str, name: str | None, top: str | None
+) -> DataFrame:
+    """One row per line; with ``top``, that column holds ``name`` of the last line of level 0 so far."""
+    names = _names(schema)
+    read = _read(responses, schema)
+    if on_problem == "fail":
+        bad = F.assert_true(F.col("problem").isNull(), F.concat(F.lit("payload: "), F.col("problem")))
+        read = read.filter(bad.isNull())
+    else:
+        read = read.filter(F.col("problem").isNull())
+    head = F.transform(F.get("_table", F.lit(0)), lambda field: F.lower(F.btrim(field)))
+    places = [(F.array_position("_head", F.lit(column)).cast("int") - 1).alias(f"_{column}") for column in names]
+    read = read.select(*carry, head.alias("_head"), F.slice("_table", 2, F.size("_table")).alias("_body")).select(
+        *carry, "_body", *places)
+
+    def field(row: Column, column: str) -> Column:
+        text = F.get(row, F.col(f"_{column}"))
+        return (text if column == name else number(text)).alias(column)
+
+    rows = F.transform("_body", lambda row: F.struct(*[field(row, column) for column in names]))
+    found = read.select(*carry, rows.alias("_rows"))
+    if top is None:
+        return found.select(*carry, F.posexplode("_rows").alias("_at", "_row")).select(
+            *carry, (F.col("_at") + 1).alias("line_no"), "_row.*")
+    # the places of the level-0 lines, then for each line the last of them: no shuffle
+    above = F.filter(
+        F.transform("_rows", lambda row, i: F.when(row["level"] == 0, F.struct(i.alias("i"), row[name].alias("v")))),
+        lambda x: x.isNotNull())
+    placed = found.withColumn("_above", above).select(*carry, "_above", F.posexplode("_rows").alias("_at", "_row"))
+    last = F.element_at(F.filter("_above", lambda x: x["i"] <= F.col("_at")), -1)
+    return placed.select(
+        *carry, (F.col("_at") + 1).alias("line_no"), "_row.*",
+        F.when(F.exists("_above", lambda x: x["i"] <= F.col("_at")), last["v"]).alias(top))
+
+
 def label_estimates(estimates: DataFrame, periods: Mapping[str, str] = PERIOD_LABELS) -> DataFrame:
     """Readable ages and periods."""
     return estimates.withColumns({
@@ -117,9 +206,15 @@ def harvest(
     responses: DataFrame,
     carry: Sequence[str] = ("request_id", "iso", "indicator", "sex", "age", "period"),
     levels: Sequence[int] | None = None,
+    on_problem: str = "skip",
 ) -> DataFrame:
-    """Responses to the finished table; ``levels`` keeps only those area levels."""
-    estimates = with_operating_unit(label_estimates(parse_payloads(responses, carry)))
+    """Responses to the finished table; ``levels`` keeps only those area levels.
+
+    The name above each area is filled inside the payload, before its lines unfold; nothing is shuffled.
+    """
+    columns = [*carry, "line_no", *_names(AREA_LINE), "operatingunit"]
+    estimates = label_estimates(
+        _lines(responses, carry, AREA_LINE, on_problem, "area", "operatingunit").select(*columns))
     if levels is None:
         return estimates
     return estimates.filter(F.col("level").isin(*levels))

@@ -87,11 +87,15 @@ def write_by(df: DataFrame, path: str, *columns: str, mode: str = "errorifexists
     df.hint("rebalance", *columns).write.mode(mode).partitionBy(*columns).parquet(path)
 
 
-def profile(df: DataFrame, distinct: bool = True) -> DataFrame:
-    """Per column: type, rows, non-NULL rows and (approximate) distinct values, in one pass."""
+def profile(df: DataFrame, distinct: str | None = "approximate") -> DataFrame:
+    """Per column: type, rows, non-NULL rows and distinct values.
+
+    ``distinct``  "approximate" (``approx_distinct``, one pass over the table), "exact" (``n_distinct``: values of
+                  each column are made distinct before they are counted) or None.
+    """
     kinds = dict(df.dtypes)
     measures = {"rows": lambda c: F.count(F.lit(1)), "non_null": F.count}
-    if distinct:
+    if distinct == "approximate":
         measures["approx_distinct"] = F.approx_count_distinct
     row = df.agg(*[
         F.struct(*[f(F.col(f"`{c}`")).alias(m) for m, f in measures.items()]).alias(f"c{i}")
@@ -104,4 +108,13 @@ def profile(df: DataFrame, distinct: bool = True) -> DataFrame:
         )
         for i, c in enumerate(df.columns)
     ]
-    return row.select(F.inline(F.array(*entries)))
+    table = row.select(F.inline(F.array(*entries)))
+    if distinct != "exact":
+        return table
+    values = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns
+    ])))
+    counts = values.filter(F.col("value").isNotNull()).distinct().groupBy("column_name").agg(
+        F.count("*").alias("n_distinct"))
+    return table.join(counts, "column_name", "left").select(
+        *table.columns, F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))

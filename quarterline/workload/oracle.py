@@ -29,7 +29,7 @@ base AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
     JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
     JOIN region ON n_regionkey = r_regionkey
-), msd AS (
+), msd AS MATERIALIZED (
   SELECT fiscal_year, indicator, standardizeddisaggregate, modality, funding_agency,
     mech_code, mech_name,
     SUM(CASE WHEN flag = 'A' AND q = 1 THEN quantity END) AS qtr1,
@@ -39,7 +39,14 @@ base AS (
     SUM(CASE WHEN flag = 'R' THEN quantity END) AS targets,
     SUM(CASE WHEN flag = 'A' THEN quantity END) AS cumulative
   FROM base GROUP BY ALL
+), meta AS (
+  SELECT CAST((k - 1) // 4 AS INT) AS fy, CAST((k - 1) % 4 + 1 AS INT) AS qtr, k,
+    'FY' || substr(CAST((k - 1) // 4 AS VARCHAR), 3, 2) || 'Q' || CAST((k - 1) % 4 + 1 AS VARCHAR) AS pd
+  FROM (SELECT CAST(max(fiscal_year * 4 + CASE WHEN qtr4 IS NOT NULL THEN 4 WHEN qtr3 IS NOT NULL THEN 3
+      WHEN qtr2 IS NOT NULL THEN 2 ELSE 1 END) AS INT) AS k
+    FROM msd WHERE COALESCE(qtr1, qtr2, qtr3, qtr4) IS NOT NULL)
 )"""
+_FY, _PD = "(SELECT fy FROM meta)", "(SELECT pd FROM meta)"
 
 TST = f"""
 tst AS (
@@ -65,8 +72,8 @@ tst AS (
 CROSSWALK = """
 mech_names_cw AS (
   SELECT CAST(s_suppkey AS VARCHAR) AS mech_code, s_name AS mech_name,
-    'S' || CAST(s_suppkey AS VARCHAR) AS mech_name_short
-  FROM supplier WHERE s_acctbal < 3000
+    CASE WHEN s_acctbal < 3000 THEN 'S' || CAST(s_suppkey AS VARCHAR) END AS mech_name_short
+  FROM supplier
 )"""
 
 GRID = """
@@ -185,8 +192,8 @@ def _achievement_label(x: str, y: str) -> str:
     return f"{_short_number(x)} || ' / ' || {_short_number(y)}"
 
 
-def _band(quarter: int) -> str:
-    pace = f"achievement / {quarter / 4}"
+def _band(quarter: int | str) -> str:
+    pace = f"achievement / (CAST({quarter} AS DOUBLE) / 4)"
     return (
         f"CASE WHEN {pace} < 0.75 THEN '<75%' WHEN {pace} < 0.9 THEN '75-89%' "
         f"WHEN {pace} <= 1.1 THEN '90-110%' WHEN {pace} > 1.1 THEN '+110%' END"
@@ -218,7 +225,7 @@ def _periods(mod_type: str, *keys: str) -> str:
 wide AS (
   SELECT fiscal_year, {mod_type} AS mod_type, {names}{_QTR_SUMS} FROM msd
   WHERE indicator = '{t.INDICATOR}' AND standardizeddisaggregate = '{t.DISAGGREGATE}'
-    AND fiscal_year <= {t.META.curr_fy}
+    AND fiscal_year <= {_FY}
   GROUP BY ALL
 ), long AS ({rows})"""
 
@@ -288,7 +295,7 @@ _FILTERED = (
     "mech_code, targets, cumulative FROM msd WHERE "
 )
 _EXCLUDED = (
-    f"standardizeddisaggregate = 'Total Numerator' AND fiscal_year = {t.META.curr_fy} "
+    f"standardizeddisaggregate = 'Total Numerator' AND fiscal_year = {_FY} "
     "AND indicator IN ('PROMO', 'LARGE', 'SMALL') AND funding_agency <> 'EUROPE' "
     "AND mech_name <> 'Supplier#000000003' AND mech_code <> '7'"
 )
@@ -304,28 +311,36 @@ _MECH_SUMS = _sums("fiscal_year", "indicator", "mech_code", measures=_ACHIEVED)
 
 
 def _brief(keys: tuple, where: str = "TRUE", extra: str = "") -> str:
+    """The current quarter from its year's row, and the one before from the same row or the year before's last."""
     names = ", ".join(keys)
-    key, meta = t.META.curr_key, t.META
-    return f"""WITH {MSD}, sums AS (
+    running = [f"n.qtr{i}" for i in (1, 2, 3, 4)]
+
+    def of(columns) -> str:
+        return "CASE qtr " + " ".join(f"WHEN {i} THEN {c}" for i, c in columns) + " END"
+
+    results = of(enumerate(running, 1))
+    so_far = of((i, " + ".join(running[:i])) for i in (1, 2, 3, 4))
+    prior = of([(1, "p.qtr4"), (2, "n.qtr1"), (3, "n.qtr2"), (4, "n.qtr3")])
+    return f"""WITH {MSD}, sums AS MATERIALIZED (
   SELECT fiscal_year, {names},
     CASE WHEN grouping(funding_agency) = 1 THEN 'Total' ELSE funding_agency END AS agency,
     CAST(grouping(funding_agency) AS INT) AS is_total, {_SUMS}
   FROM msd WHERE standardizeddisaggregate = 'Total Numerator'
-    AND fiscal_year IN ({meta.curr_fy - 1}, {meta.curr_fy}) AND {where}
+    AND fiscal_year IN ({_FY} - 1, {_FY}) AND {where}
   GROUP BY GROUPING SETS ((fiscal_year, {names}), (fiscal_year, {names}, funding_agency))
-), {_quarters(*keys, 'agency', 'is_total')}, joined AS (
-  SELECT now.*, before.results AS prior_results, now.results - before.results AS change
-  FROM quarters now LEFT JOIN quarters before ON before.period_key = now.period_key - 1
-    AND before.agency = now.agency AND before.is_total = now.is_total
-    AND {' AND '.join(f'before.{k} = now.{k}' for k in keys)}
-  WHERE now.period_key = {key}
-)
+), joined AS (
+  SELECT {', '.join(f'n.{k}' for k in keys)}, n.agency, n.is_total, pd AS period, {results} AS results,
+    {so_far} AS results_cumulative, n.targets, {prior} AS prior_results
+  FROM meta JOIN sums n ON n.fiscal_year = fy LEFT JOIN sums p ON p.fiscal_year = fy - 1
+    AND p.agency = n.agency AND p.is_total = n.is_total
+    AND {' AND '.join(f'p.{k} = n.{k}' for k in keys)}
+), changed AS (SELECT *, results - prior_results AS change FROM joined)
 SELECT {names}, agency AS funding_agency, is_total, period, results, results_cumulative, targets,
   prior_results, results_cumulative / NULLIF(targets, 0) AS achievement, change,
   change / NULLIF(prior_results, 0) AS change_share,
   CASE WHEN change > 0 THEN 'up' WHEN change < 0 THEN 'down' WHEN change = 0 THEN 'same' END AS direction,
-  '{meta.caption} | {meta.curr_pd}' AS caption{extra}
-FROM joined"""
+  'Source: {t.SOURCE} | ' || period AS caption{extra}
+FROM changed"""
 
 
 def _chart(*ids: str, where: str, select: str) -> str:
@@ -336,13 +351,12 @@ def _chart(*ids: str, where: str, select: str) -> str:
 
 
 def _chart_now(agency: str | None) -> str:
-    meta = t.META
     ids = ("indicator", "funding_agency") if agency else ("indicator",)
     where = f"funding_agency = '{agency}'" if agency else "TRUE"
-    title = f"{t.INDICATOR} ACHIEVEMENT | {agency or 'ALL AGENCIES'}: {meta.curr_pd}"
+    title = f"{t.INDICATOR} ACHIEVEMENT | {agency or 'ALL AGENCIES'}: "
     return _chart(*ids, where=where, select=(
-        f"SELECT *, {_CHART_LABELS}, '{title}' AS title, '{meta.caption}' AS caption "
-        f"FROM achieved WHERE period = '{meta.curr_pd}'"
+        f"SELECT *, {_CHART_LABELS}, '{title}' || {_PD} AS title, 'Source: {t.SOURCE}' AS caption "
+        f"FROM achieved WHERE period = {_PD}"
     ))
 
 
@@ -414,14 +428,19 @@ ORACLE: dict[str, str] = {
     "scan_targets_by_type": f"WITH {TST} SELECT * FROM tst WHERE type = 'ALL'",
     "map_mech_names": f"""WITH {MSD}, {_sums('fiscal_year', 'indicator', 'mech_code', measures=_total('targets'))}
       SELECT mech_code, fiscal_year, indicator, targets, r_name AS funding_agency,
-        n_name AS prime_partner_name, s_name AS mech_name
+        CASE WHEN s_acctbal >= 0 THEN n_name END AS prime_partner_name, s_name AS mech_name
       FROM sums LEFT JOIN (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey
-        JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal >= 0)
+        JOIN region ON n_regionkey = r_regionkey)
         ON mech_code = CAST(s_suppkey AS VARCHAR)""",
     "request_grid_urls": (
         f"WITH {GRID} SELECT country, iso, batch_no, indicator, age, sex, {_URL} AS url FROM grid"
     ),
     "parse_csv_payloads": f"WITH {ESTIMATES} SELECT {_REQUEST}, {_LINE} FROM estimates",
+    "profile_table": f"WITH {MSD} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{kind}' AS column_type, COUNT(*) AS rows, "
+        f"COUNT({c}) AS non_null, COUNT(DISTINCT {c}) AS n_distinct FROM msd"
+        for c, kind in _PROFILED
+    ),
     "profile_table_counts": f"WITH {MSD} " + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{kind}' AS column_type, COUNT(*) AS rows, "
         f"COUNT({c}) AS non_null FROM msd"
@@ -429,7 +448,7 @@ ORACLE: dict[str, str] = {
     ),
     "filter_conjunctive": _FILTERED + (
         f"indicator = '{t.INDICATOR}' AND standardizeddisaggregate = '{t.DISAGGREGATE}' "
-        f"AND fiscal_year <= {t.META.curr_fy}"
+        f"AND fiscal_year <= {_FY}"
     ),
     "filter_in_list": _FILTERED + "indicator IN ('PROMO', 'LARGE')",
     "filter_not_in_list": (
@@ -458,13 +477,13 @@ ORACLE: dict[str, str] = {
         COALESCE(mech_name_short, sums.mech_name) AS mech_name, mech_name_short
       FROM sums LEFT JOIN mech_names_cw cw ON sums.mech_code IS NOT DISTINCT FROM cw.mech_code
         AND sums.mech_name IS NOT DISTINCT FROM cw.mech_name""",
-    "compare_columns": f"""WITH {MSD}, {CROSSWALK}, n AS (SELECT
-        (SELECT COUNT(*) FROM (SELECT mech_code FROM msd EXCEPT SELECT mech_code FROM mech_names_cw)) AS a,
-        (SELECT COUNT(*) FROM (SELECT mech_code FROM mech_names_cw EXCEPT SELECT mech_code FROM msd)) AS b)
+    "compare_columns": f"""WITH {MSD}, {CROSSWALK},
+      named AS (SELECT mech_code FROM mech_names_cw WHERE mech_name_short IS NOT NULL), n AS (SELECT
+        (SELECT COUNT(*) FROM (SELECT mech_code FROM msd EXCEPT SELECT mech_code FROM named)) AS a,
+        (SELECT COUNT(*) FROM (SELECT mech_code FROM named EXCEPT SELECT mech_code FROM msd)) AS b)
       SELECT a AS n_x_not_y, b AS n_y_not_x,
-        CASE WHEN a = 0 AND b = 0 THEN 'There are no differences between the columns'
-          ELSE CAST(a AS VARCHAR) || ' differences between x and y; ' || CAST(b AS VARCHAR)
-            || ' differences between y and x' END AS message FROM n""",
+        CASE WHEN a = 0 AND b = 0 THEN 'both hold the same values'
+          ELSE 'only in x: ' || CAST(a AS VARCHAR) || ', only in y: ' || CAST(b AS VARCHAR) END AS message FROM n""",
     "union_by_name": f"""WITH {TST}
       SELECT fiscal_year, indicator, snuprioritization, {_total('targets')}, NULL AS funding_agency
       FROM tst WHERE type = 'SUBNAT' GROUP BY fiscal_year, indicator, snuprioritization
@@ -500,7 +519,7 @@ ORACLE: dict[str, str] = {
         f"SELECT fiscal_year, mech_code, achievement, {_band(3)} AS band FROM rated"
     ),
     "achievement_table": (
-        f"{_BY_MECH} SELECT *, {_band(t.META.curr_qtr)} AS band, "
+        f"{_BY_MECH} SELECT *, {_band('(SELECT qtr FROM meta)')} AS band, "
         f"{_achievement_label('cumulative', 'targets')} AS tgt_rslt_sum FROM rated"
     ),
     "period_brief": _brief(("indicator",)),

@@ -26,12 +26,13 @@ from quarterline.plans import achievement as reports
 from quarterline.plans import modality, targets
 from quarterline.sources import harvest as area
 from quarterline.sources.snapshots import latest_snapshot, profile, targets_of_type
+from quarterline.session import stage
 from quarterline.workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-YEARS = (2022, 2023)
+YEARS = (2022, 2023, 2024)
 AGENCY = "ASIA"
 #: presentation order of the indicators of this data; SMALL is left out on purpose
 LEVELS = (
@@ -110,12 +111,12 @@ def parse_csv_payloads(spark, sf_dir):
 
 @query
 def profile_table(spark, sf_dir):
-    return profile(t.msd(spark, sf_dir))
+    return profile(t.msd(spark, sf_dir), "exact")
 
 
 @query
 def profile_table_counts(spark, sf_dir):
-    return profile(t.msd(spark, sf_dir), distinct=False)
+    return profile(t.msd(spark, sf_dir), None)
 
 
 # -- projections, classification, predicates ----------------------------------
@@ -130,10 +131,11 @@ def _msd_keys(df):
 
 @query
 def filter_conjunctive(spark, sf_dir):
-    return _msd_keys(t.msd(spark, sf_dir)).filter(
+    df = t.msd(spark, sf_dir)
+    return _msd_keys(df).filter(
         (F.col("indicator") == t.INDICATOR)
         & (F.col("standardizeddisaggregate") == t.DISAGGREGATE)
-        & (F.col("fiscal_year") <= t.META.curr_fy)
+        & (F.col("fiscal_year") <= t.current(df).curr_fy)
     )
 
 
@@ -217,31 +219,32 @@ def fix_mech_names_short(spark, sf_dir):
 
 @named("compare_columns")
 def compare_mech_codes(spark, sf_dir):
+    # which mechanisms have a short name is the question: those without one are the differences
     reported = t.msd(spark, sf_dir).select("mech_code")
-    return compare_columns(reported, t.mech_names_cw(spark, sf_dir).select("mech_code"))
+    named = t.mech_names_cw(spark, sf_dir).filter(F.col("mech_name_short").isNotNull())
+    return compare_columns(reported, named.select("mech_code"))
 
 
 @query
 def union_by_name(spark, sf_dir):
-    tst = t.tst(spark, sf_dir)
+    # the target table is a long derivation: sum it once for both parts
+    keys = ["type", "fiscal_year", "indicator", "snuprioritization", "funding_agency"]
+    sums = stage(sum_across(
+        t.tst(spark, sf_dir).filter(F.col("type").isin("SUBNAT", "ALL")), keys, "targets"))
     by_place = sum_across(
-        targets_of_type(tst, "SUBNAT"), ["fiscal_year", "indicator", "snuprioritization"], "targets"
+        targets_of_type(sums, "SUBNAT"), ["fiscal_year", "indicator", "snuprioritization"], "targets"
     )
     by_agency = sum_across(
-        targets_of_type(tst, "ALL"), ["fiscal_year", "indicator", "funding_agency"], "targets"
+        targets_of_type(sums, "ALL"), ["fiscal_year", "indicator", "funding_agency"], "targets"
     )
     return bind_rows(by_place, by_agency)
 
 
 @query
 def union_indicators(spark, sf_dir):
-    grid = t.responses(spark, sf_dir)
-    parts = [
-        area.parse_payloads(grid.filter(F.col("indicator") == name), CARRY)
-        .withColumn("src_no", F.lit(n))
-        for n, name in enumerate(area.INDICATORS, 1)
-    ]
-    return bind_rows(*parts)
+    # one pass over the responses: the indicator says which of the bound tables a row is from
+    source = F.array_position(F.array(*map(F.lit, area.INDICATORS)), F.col("indicator")).cast("int")
+    return area.parse_payloads(t.responses(spark, sf_dir), CARRY).withColumn("src_no", source)
 
 
 @query
@@ -285,8 +288,9 @@ def achievement_grouping_sets(spark, sf_dir):
 
 @query
 def achievement_by_mech(spark, sf_dir):
+    df = t.msd(spark, sf_dir)
     return reports.achievement_by_mech(
-        t.msd(spark, sf_dir), ["PROMO", "LARGE", "SMALL"], t.META,
+        df, ["PROMO", "LARGE", "SMALL"], t.current(df),
         agencies_out=["EUROPE"], names_out=["Supplier#000000003"], codes_out=["7"],
     )
 
@@ -302,25 +306,29 @@ def achievement_bands(spark, sf_dir):
 
 @query
 def achievement_table(spark, sf_dir):
+    df = t.msd(spark, sf_dir)
     return reports.achievement_table(
-        t.msd(spark, sf_dir), ["PROMO", "LARGE", "SMALL"], t.META,
+        df, ["PROMO", "LARGE", "SMALL"], t.current(df),
         agencies_out=["EUROPE"], names_out=["Supplier#000000003"], codes_out=["7"],
     )
 
 
 @query
 def period_brief(spark, sf_dir):
-    return reports.period_brief(t.msd(spark, sf_dir), t.META)
+    df = t.msd(spark, sf_dir)
+    return reports.period_brief(df, t.current(df))
 
 
 @query
 def period_brief_one_indicator(spark, sf_dir):
-    return reports.period_brief(t.msd(spark, sf_dir), t.META, [t.INDICATOR])
+    df = t.msd(spark, sf_dir)
+    return reports.period_brief(df, t.current(df), [t.INDICATOR])
 
 
 @query
 def mech_summary(spark, sf_dir):
-    return reports.mech_summary(t.msd(spark, sf_dir), t.META)
+    df = t.msd(spark, sf_dir)
+    return reports.mech_summary(df, t.current(df))
 
 
 @query
@@ -348,8 +356,9 @@ def custom_order_totals(spark, sf_dir):
 
 
 def _mech_periods(spark, sf_dir):
+    df = t.msd(spark, sf_dir)
     rows = modality.modality_rows(
-        t.msd(spark, sf_dir), t.META.curr_fy,
+        df, t.current(df).curr_fy,
         classify.modality_type(F.col("modality"), t.MODALITY_RULES),
         t.INDICATOR, t.DISAGGREGATE,
     )
@@ -410,23 +419,26 @@ def every_nth_order(spark, sf_dir):
 
 @query
 def modality_by_mech(spark, sf_dir):
+    df = t.msd(spark, sf_dir)
     return modality.modality_by_mech(
-        t.msd(spark, sf_dir), t.META.curr_fy, "FY20Q1", t.MODALITY_RULES, t.INDICATOR, t.DISAGGREGATE
+        df, t.current(df).curr_fy, "FY20Q1", t.MODALITY_RULES, t.INDICATOR, t.DISAGGREGATE
     )
 
 
 @query
 def modality_index(spark, sf_dir):
+    df = t.msd(spark, sf_dir)
     return modality.modality_index(
-        t.msd(spark, sf_dir), "funding_agency", curr_fy=t.META.curr_fy,
+        df, "funding_agency", curr_fy=t.current(df).curr_fy,
         rules=t.INDEX_RULES, indicator=t.INDICATOR, disaggregate=t.DISAGGREGATE,
     )
 
 
 @query
 def modality_index_two_keys(spark, sf_dir):
+    df = t.msd(spark, sf_dir)
     return modality.modality_index(
-        t.msd(spark, sf_dir), "funding_agency", "mech_name", curr_fy=t.META.curr_fy,
+        df, "funding_agency", "mech_name", curr_fy=t.current(df).curr_fy,
         rules=t.INDEX_RULES, indicator=t.INDICATOR, disaggregate=t.DISAGGREGATE,
     )
 
@@ -493,12 +505,14 @@ def label_percent_comma(spark, sf_dir):
 
 @query
 def chart_achievement_all(spark, sf_dir):
-    return reports.chart_current(t.msd(spark, sf_dir), [t.INDICATOR], YEARS, t.META)
+    df = t.msd(spark, sf_dir)
+    return reports.chart_current(df, [t.INDICATOR], YEARS, t.current(df))
 
 
 @query
 def chart_achievement_agency(spark, sf_dir):
-    return reports.chart_current(t.msd(spark, sf_dir), [t.INDICATOR], YEARS, t.META, AGENCY)
+    df = t.msd(spark, sf_dir)
+    return reports.chart_current(df, [t.INDICATOR], YEARS, t.current(df), AGENCY)
 
 
 @query

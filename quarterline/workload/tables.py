@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterline.functions.classify import Rule
+from quarterline.operators.aggregate import read_metadata
 from quarterline.schemas import INDICATOR_RESULTS, TARGETS, TOTAL_NUMERATOR, Metadata
 from quarterline.session import shuffle_partitions
 from quarterline.sources.harvest import request_grid
 
-META = Metadata(curr_fy=2023, curr_qtr=2, source="FY23Q2 results")
+SOURCE = "results"
 INDICATOR = "PROMO"
 DISAGGREGATE = "Modality/Age/Sex/Result"
 
@@ -109,6 +110,11 @@ def msd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(*INDICATOR_RESULTS.fieldNames())
 
 
+def current(df: DataFrame) -> Metadata:
+    """What the results table says about itself; the reports' current period."""
+    return read_metadata(df, SOURCE)
+
+
 def tst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target-setting table: targets by type, indicator, disaggregate, age, agency."""
     size = F.col("p_size")
@@ -145,20 +151,20 @@ def tst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mech_names_cw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short names, which mechanisms with a high balance lack."""
-    return table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") < 3000).select(
-        F.col("s_suppkey").cast("string").alias("mech_code"),
-        F.col("s_name").alias("mech_name"),
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("mech_name_short"),
+    """Every mechanism with its short name, which those with a high balance lack (NULL)."""
+    code = F.col("s_suppkey").cast("string")
+    return table(spark, sf_dir, "supplier").select(
+        code.alias("mech_code"), F.col("s_name").alias("mech_name"),
+        F.when(F.col("s_acctbal") < 3000, F.concat(F.lit("S"), code)).alias("mech_name_short"),
     )
 
 
 def mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agency, partner and name of the known mechanisms, those not in debt."""
-    return _agencies(spark, sf_dir).filter(F.col("s_acctbal") >= 0).select(
+    """Agency, partner and name of every mechanism; partners of those in debt are unknown (NULL)."""
+    return _agencies(spark, sf_dir).select(
         F.col("s_suppkey").cast("string").alias("mech_code"),
         F.col("r_name").alias("funding_agency"),
-        F.col("n_name").alias("prime_partner_name"),
+        F.when(F.col("s_acctbal") >= 0, F.col("n_name")).alias("prime_partner_name"),
         F.col("s_name").alias("mech_name"),
     )
 

@@ -61,8 +61,8 @@ def test_clean_number_rounds_half_even(spark):
 
 
 def test_plain_numbers_do_not_depend_on_ansi_mode(spark):
-    data = [0.0, -0.0, 1e-7, 0.1 + 0.2, 999.5, -1234567.25]
-    expected = ["0", "0", "0.0000001", "0.3", "999.5", "-1234567.25"]
+    data = [0.0, -0.0, 1e-7, 0.1 + 0.2, 999.5, -1234567.25, 1e-13, -2.5e-20]
+    expected = ["0", "0", "0.0000001", "0.3", "999.5", "-1234567.25", "1e-13", "-2.5e-20"]
     assert values(spark, data, "DOUBLE", labels.clean_number) == expected
     spark.conf.set("spark.sql.ansi.enabled", "false")
     try:

@@ -8,8 +8,8 @@ from quarterline.operators.achievement import brief
 from quarterline.operators.aggregate import (
     category_order, exact_median, read_metadata, sum_across, sum_two_grains,
 )
-from quarterline.operators.combine import bind_rows, compare_columns, fix_mech_names
-from quarterline.operators.grid import complete_grid
+from quarterline.operators.combine import bind_rows, compare_columns, fix_mech_names, map_mech_names
+from quarterline.operators.grid import complete_grid, complete_series
 from quarterline.operators.ordered import every_nth, fill_down, fill_up, row_index
 from quarterline.operators.reshape import custom_order, pivot_sum, reshape_long, reshape_quarters
 from quarterline.operators.shares import period_totals, share_of_group, share_of_period, start_end
@@ -62,6 +62,31 @@ def test_pivot_and_order(spark):
         ("b", 3.0, None, 1), ("a", None, 0.0, 2), ("zz", 1.0, None, None)]
 
 
+def test_pivot_keeps_unlisted_and_null_names(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "b", 2.0), ("a", None, 4.0), ("a", "a", 8.0)], "i STRING, p STRING, t DOUBLE")
+    wide = pivot_sum(df, ["i"], "p", "t", ["x", "unused"])
+    assert wide.columns == ["i", "x", "unused", "NA", "a", "b"]
+    assert tuple(wide.first()) == ("a", 1.0, None, 4.0, 8.0, 2.0)
+
+
+def test_series_only_for_groups_that_exist(spark, rows):
+    df = spark.createDataFrame(CELLS, PERIODS)
+    series = complete_series(df, ["mod_type", "mech_name"], "period_key", ["period"])
+    grid = complete_grid(df, ["mech_name"], ["mod_type", ("period_key", "period")])
+    last = df.groupBy("mod_type", "mech_name").agg(F.max("period_key").alias("_last"))
+    same = (grid["mod_type"] == last["mod_type"]) & grid["mech_name"].eqNullSafe(last["mech_name"])
+    expected = grid.join(last, same & (grid["period_key"] <= last["_last"]), "left_semi")
+    assert rows(series) == rows(expected.select(*series.columns))
+
+
+def test_names_are_replaced_and_keep_their_place(spark):
+    names = spark.createDataFrame([("1", "A", "m")], "mech_code STRING, funding_agency STRING, mech_name STRING")
+    df = spark.createDataFrame([("old", "1", "x", 2.0)], "mech_name STRING, mech_code STRING, funding_agency STRING, v DOUBLE")
+    assert tuple(map_mech_names(df, names).select("mech_code", "v", "funding_agency", "mech_name").first()) == ("1", 2.0, "A", "m")
+    crosswalk = spark.createDataFrame([("1", "old", "short")], "mech_code STRING, mech_name STRING, mech_name_short STRING")
+    assert fix_mech_names(df, crosswalk).columns == ["mech_name", "mech_code", "funding_agency", "v", "mech_name_short"]
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 4000, 4001])
 def test_exact_median(spark, size):
     random.seed(size)
@@ -192,8 +217,8 @@ def test_compare_columns(spark):
     x = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "x STRING")
     y = spark.createDataFrame([("b",), ("c",), ("d",), (None,)], "y STRING")
     assert tuple(compare_columns(x, y).first()) == (
-        1, 2, "1 differences between x and y; 2 differences between y and x")
-    assert tuple(compare_columns(x, x).first()) == (0, 0, "There are no differences between the columns")
+        1, 2, "only in x: 1, only in y: 2")
+    assert tuple(compare_columns(x, x).first()) == (0, 0, "both hold the same values")
 
 
 def test_bind_rows_fills_missing_columns(spark, rows):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarterline.schemas import INDICATOR_RESULTS, TARGETS
 from quarterline.sources.harvest import (
-    harvest, label_estimates, parse_payloads, request_grid, request_url, with_operating_unit,
+    failed_requests, harvest, label_estimates, parse_payloads, request_grid, request_url, with_operating_unit,
 )
 from quarterline.sources.snapshots import (
     latest_snapshot, list_snapshots, profile, read_indicators, read_targets, write_by, write_csv,
@@ -113,13 +113,39 @@ def test_parse_payloads(spark, rows):
         spark, HEADER + '\r\nLand,0,1.5,x,2\r\n"North, upper",2,NA,,3\r\n', HEADER, HEADER + "\n\nOnly,2,1,1,1\n")
     got = rows(parse_payloads(df, ["request_id"]))
     assert got == [("1", 1, "Land", 0.0, 1.5, None, 2.0), ("1", 2, "North, upper", 2.0, None, None, 3.0),
-                   ("3", 2, "Only", 2.0, 1.0, 1.0, 1.0)]
+                   ("3", 1, "Only", 2.0, 1.0, 1.0, 1.0)]
 
 
-@pytest.mark.parametrize("payload", ['{"error": "indicator not recognised"}', "area,mean,level,lower,upper\na,1,2,3,4"])
-def test_parse_payloads_refuses_another_header(spark, payload):
-    with pytest.raises(Exception, match="payload header"):
-        parse_payloads(_responses(spark, payload), ["request_id"]).collect()
+PROBLEMS = {
+    '{"error": "indicator not recognised"}': "missing columns", "": "empty payload", None: "no payload",
+    'area,level,mean,lower,upper\n"a,1,2,3,4': "a quote is not closed",
+    "area,level,mean,lower,upper\na,1,2": "a line with another number of fields",
+    "area,level,mean,lower,upper,level\na,1,2,3,4,5": "a column twice",
+}
+
+
+def test_failed_requests_are_reported_and_not_fatal(spark):
+    good = "area,level,mean,lower,upper\na,1,2,3,4"
+    df = _responses(spark, *PROBLEMS, good)
+    assert [r["request_id"] for r in parse_payloads(df, ["request_id"]).collect()] == [str(len(PROBLEMS) + 1)]
+    found = [r["problem"] for r in failed_requests(df, ["request_id"]).orderBy("request_id").collect()]
+    assert all(problem.startswith(start) for problem, start in zip(found, PROBLEMS.values()))
+    assert len(found) == len(PROBLEMS)
+    with pytest.raises(Exception, match="payload: "):
+        parse_payloads(df, ["request_id"], on_problem="fail").collect()
+
+
+def test_columns_by_name_and_quoted_breaks(spark):
+    payload = 'unit,Upper,area,"level",mean,lower\r\nx,9,"Two\nlines, ""one"" more",0,1,2\r\ny,8,plain,2,bad,3\r\n'
+    got = parse_payloads(_responses(spark, payload), ["request_id"]).orderBy("line_no").collect()
+    assert [tuple(r)[2:] for r in got] == [
+        ('Two\nlines, "one" more', 0.0, 1.0, 2.0, 9.0), ("plain", 2.0, None, 3.0, 8.0)]
+
+
+def test_fill_inside_the_payload_needs_no_shuffle(spark):
+    plan = harvest(_responses(spark, "area,level,mean,lower,upper\na,0,2,3,4").withColumns(
+        {c: F.lit("x") for c in ("iso", "indicator", "sex")}))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_operating_unit_by_request_and_run_on(spark):
