@@ -18,7 +18,8 @@ def range_bounds(df: DataFrame, column: str, blocks: int) -> list:
     if blocks < 2:
         return []
     shares = [i / blocks for i in range(1, blocks)]
-    found = df.agg(F.percentile_approx(column, shares, 20 * blocks).alias("cuts")).first()["cuts"]
+    accuracy = max(10_000, 20 * blocks)
+    found = df.agg(F.percentile_approx(column, shares, accuracy).alias("cuts")).first()["cuts"]
     return sorted(set(found or []))
 
 

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterline.session import stage
-
-BLOCK = 50_000
+from quarterline.operators.blocks import range_block, range_bounds
+from quarterline.session import shuffle_partitions, stage
 
 
 def fill_up(df: DataFrame, column: str, group: Sequence[str], order: str) -> DataFrame:
@@ -31,17 +30,19 @@ def fill_down(
     order: Sequence[str],
     group: Sequence[str] = (),
     few: Sequence[str] = (),
-    block: int = BLOCK,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Replace NULL by the last earlier non-NULL value, within ``group`` or over all rows.
 
     ``order``  integer columns, most significant first, that number the rows of a
                group uniquely.
     ``few``    those of them with few values, which need no blocks.
+    ``blocks`` ranges that each other column is cut into, at quantiles of its values; by default a few per
+               shuffle partition.
 
     See ``_before`` for how a long group is spread over tasks.
     """
-    levels = _levels(order, few, bool(group), block)
+    levels = _levels(df, order, few, blocks)
     out = _before(df.withColumns(levels), column, list(group), list(levels), "last")
     return out.withColumn(column, F.coalesce(F.col(column), F.col("_before"))).select(*df.columns)
 
@@ -52,10 +53,10 @@ def row_index(
     group: Sequence[str] = (),
     few: Sequence[str] = (),
     name: str = "row_index",
-    block: int = BLOCK,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Number the rows of a group, or of the table, from 0 in the given order."""
-    levels = _levels(order, few, bool(group), block)
+    levels = _levels(df, order, few, blocks)
     counted = df.withColumns(levels).withColumn("_one", F.lit(1).cast("bigint"))
     out = _before(counted, "_one", list(group), list(levels), "sum")
     return out.select(*df.columns, F.coalesce(F.col("_before"), F.lit(0)).alias(name))
@@ -67,23 +68,36 @@ def every_nth(
     order: Sequence[str],
     group: Sequence[str] = (),
     few: Sequence[str] = (),
-    block: int = BLOCK,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Every n-th row in the given order, starting with the first."""
-    indexed = row_index(df, order, group, few, "_index", block)
+    indexed = row_index(df, order, group, few, "_index", blocks)
     return indexed.filter(F.col("_index") % n == 0).drop("_index")
 
 
+def previous_value(
+    df: DataFrame, column: str, order: Sequence[str], few: Sequence[str] = (), name: str = "previous",
+    blocks: int | None = None,
+) -> DataFrame:
+    """Add the last non-NULL value of ``column`` before each row in the order of the whole table."""
+    levels = _levels(df, order, few, blocks)
+    out = _before(df.withColumns(levels), column, [], list(levels), "last")
+    return out.select(*df.columns, F.col("_before").alias(name))
+
+
 def _levels(
-    order: Sequence[str], few: Sequence[str], grouped: bool, block: int
+    df: DataFrame, order: Sequence[str], few: Sequence[str], blocks: int | None
 ) -> dict[str, Column]:
-    """Order columns with a block number before each that may run long."""
+    """Order columns with a block number before each that may run long.
+
+    Blocks are cut at quantiles taken from the data once, so dense, sparse and hashed
+    keys give blocks of about as many rows.
+    """
+    count = blocks or 4 * shuffle_partitions(df.sparkSession)
     levels: dict[str, Column] = {}
     for i, name in enumerate(order):
         if name not in few:
-            if i == 0 and not grouped:
-                levels["_super"] = F.floor(F.col(name) / F.lit(block * block))
-            levels[f"_block_{i}"] = F.floor(F.col(name) / F.lit(block))
+            levels[f"_block_{i}"] = range_block(F.col(name), range_bounds(df, name, count))
         levels[f"_order_{i}"] = F.col(name)
     return levels
 
@@ -95,10 +109,10 @@ def _before(
 
     ``how`` is ``last`` (their last non-NULL value) or ``sum``. Rows are windowed
     inside one value of all but the last order column, at most a block. The blocks'
-    own summaries form a table smaller by the block size, which is treated the same
+    own summaries form a table of a row per block, which is treated the same
     way; what it says about earlier blocks enters each block as an opening row.
-    Block borders are fixed by the order column, so no pass depends on sampling or on
-    row placement, and the rows themselves are shuffled once.
+    Block borders are constants of the plan, so every pass cuts alike whatever the row
+    placement, and the rows themselves are shuffled once.
     """
     *outer, last = order
     part = [*group, *outer]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterline.functions.classify import Bands
+from quarterline.functions.labels import clean_agency
 from quarterline.operators.achievement import (
     add_achievement_label, add_chart_labels, add_ratio, adorn_achievement, brief,
     calc_achievement,
@@ -21,10 +22,11 @@ QUARTERS_AND_TARGETS = "targets|qtr"
 
 
 def _years(df: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Total numerators of the years; agencies under their clean names, before any filter or group."""
     return df.filter(
         (F.col("standardizeddisaggregate") == TOTAL_NUMERATOR)
         & F.col("fiscal_year").isin(*years)
-    )
+    ).withColumn("funding_agency", clean_agency(F.col("funding_agency")))
 
 
 def quarterly_achievement(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarterline.functions.labels import age_label, recode
 from quarterline.functions.predicates import number
-from quarterline.operators.ordered import fill_down
+from quarterline.operators.ordered import fill_down, previous_value
 from quarterline.schemas import AREA_LINE
 
 # What a full harvest asks for, in its order.
@@ -143,9 +143,13 @@ def _names(schema: str) -> list[str]:
 
 
 def _lines(
-    responses: DataFrame, carry: Sequence[str], schema: str, on_problem: str, name: str | None, top: str | None
+    responses: DataFrame, carry: Sequence[str], schema: str, on_problem: str, name: str | None, top: str | None,
+    run_on: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per line; with ``top``, that column holds ``name`` of the last line of level 0 so far."""
+    """One row per line; with ``top``, that column holds ``name`` of the last line of level 0 so far.
+
+    So far in the payload, or with ``run_on`` in all payloads in that order.
+    """
     names = _names(schema)
     read = _read(responses, schema)
     if on_problem == "fail":
@@ -170,12 +174,16 @@ def _lines(
     # the places of the level-0 lines, then for each line the last of them: no shuffle
     above = F.filter(
         F.transform("_rows", lambda row, i: F.when(row["level"] == 0, F.struct(i.alias("i"), row[name].alias("v")))),
-        lambda x: x.isNotNull())
-    placed = found.withColumn("_above", above).select(*carry, "_above", F.posexplode("_rows").alias("_at", "_row"))
-    last = F.element_at(F.filter("_above", lambda x: x["i"] <= F.col("_at")), -1)
-    return placed.select(
-        *carry, (F.col("_at") + 1).alias("line_no"), "_row.*",
-        F.when(F.exists("_above", lambda x: x["i"] <= F.col("_at")), last["v"]).alias(top))
+        lambda x: x["v"].isNotNull())
+    placed = found.withColumn("_above", above).withColumn(top, F.try_element_at("_above", F.lit(-1))["v"])
+    if run_on:
+        placed = previous_value(placed, top, list(run_on), list(run_on[:-1]), "_earlier")
+    else:
+        placed = placed.withColumn("_earlier", F.lit(None).cast("string"))
+    unfolded = placed.select(*carry, "_above", "_earlier", F.posexplode("_rows").alias("_at", "_row"))
+    last = F.try_element_at(F.filter("_above", lambda x: x["i"] <= F.col("_at")), F.lit(-1))
+    return unfolded.select(
+        *carry, (F.col("_at") + 1).alias("line_no"), "_row.*", F.coalesce(last["v"], "_earlier").alias(top))
 
 
 def label_estimates(estimates: DataFrame, periods: Mapping[str, str] = PERIOD_LABELS) -> DataFrame:
@@ -202,6 +210,18 @@ def with_operating_unit(
     return fill_down(top, "operatingunit", order, group, few)
 
 
+def run_on_units(
+    responses: DataFrame, carry: Sequence[str], order: Sequence[str], on_problem: str = "skip"
+) -> DataFrame:
+    """Lines of all payloads with ``operatingunit`` running on from one payload into the next.
+
+    ``order`` are columns of ``carry`` that number the requests; all but the last have few values. Payloads are
+    parsed once, and what is ordered is a row per payload, not per line.
+    """
+    columns = [*carry, "line_no", *_names(AREA_LINE), "operatingunit"]
+    return _lines(responses, carry, AREA_LINE, on_problem, "area", "operatingunit", order).select(*columns)
+
+
 def harvest(
     responses: DataFrame,
     carry: Sequence[str] = ("request_id", "iso", "indicator", "sex", "age", "period"),

@@ -549,7 +549,4 @@ def fill_operating_unit_levels(spark, sf_dir):
 @query
 def fill_operating_unit_run_on(spark, sf_dir):
     carry = ("batch_no", "country_no", "iso", "indicator", "sex", "age")
-    estimates = area.parse_payloads(t.responses(spark, sf_dir), carry)
-    return area.with_operating_unit(
-        estimates, order=("batch_no", "country_no", "line_no"), group=(), few=("batch_no",)
-    )
+    return area.run_on_units(t.responses(spark, sf_dir), carry, order=("batch_no", "country_no"))

@@ -181,7 +181,7 @@ def test_fill_down_over_the_whole_table(spark, block):
     random.seed(block)
     values = [f"v{i}" if random.random() < 0.03 else None for i in range(2000)]
     df = spark.createDataFrame(list(enumerate(values)), "o BIGINT, v STRING").repartition(7)
-    got = fill_down(df, "v", ["o"], block=block).orderBy("o").collect()
+    got = fill_down(df, "v", ["o"], blocks=block).orderBy("o").collect()
     assert [r["v"] for r in got] == _filled(values)
 
 
@@ -189,7 +189,7 @@ def test_fill_down_over_the_whole_table(spark, block):
 def test_fill_down_by_group_does_not_run_on(spark, rows, block):
     data = [("a", 1, "x"), ("a", 2, None), ("a", 5, None), ("b", 1, None), ("b", 2, "y"), ("b", 9, None), (None, 1, "z"), (None, 4, None)]
     df = spark.createDataFrame(data, "g STRING, o INT, v STRING")
-    got = rows(fill_down(df, "v", ["o"], group=["g"], block=block))
+    got = rows(fill_down(df, "v", ["o"], group=["g"], blocks=block))
     assert got == [(None, 1, "z"), (None, 4, "z"), ("a", 1, "x"), ("a", 2, "x"), ("a", 5, "x"),
                    ("b", 1, None), ("b", 2, "y"), ("b", 9, "y")]
 
@@ -199,17 +199,17 @@ def test_fill_down_with_a_compound_order(spark):
     keys = [(a, b, c) for a in range(3) for b in (0, 4, 900) for c in range(1, 30)]
     values = ["k%d-%d-%d" % k if random.random() < 0.05 else None for k in keys]
     df = spark.createDataFrame([(*k, v) for k, v in zip(keys, values)], "a INT, b BIGINT, c INT, v STRING")
-    got = fill_down(df.repartition(5), "v", ["a", "b", "c"], few=["a"], block=10).orderBy("a", "b", "c")
+    got = fill_down(df.repartition(5), "v", ["a", "b", "c"], few=["a"], blocks=10).orderBy("a", "b", "c")
     assert [r["v"] for r in got.collect()] == _filled(values)
 
 
 @pytest.mark.parametrize("block", [3, 1000])
 def test_row_index_and_every_nth(spark, rows, block):
     df = spark.createDataFrame([(k * k,) for k in range(40)], "o BIGINT").repartition(5)
-    assert rows(row_index(df, ["o"], block=block)) == [(k * k, k) for k in range(40)]
-    assert rows(every_nth(df, 7, ["o"], block=block)) == [(k * k,) for k in range(0, 40, 7)]
+    assert rows(row_index(df, ["o"], blocks=block)) == [(k * k, k) for k in range(40)]
+    assert rows(every_nth(df, 7, ["o"], blocks=block)) == [(k * k,) for k in range(0, 40, 7)]
     by_group = df.withColumn("g", F.col("o") % 2)
-    got = rows(every_nth(by_group, 10, ["o"], group=["g"], block=block))
+    got = rows(every_nth(by_group, 10, ["o"], group=["g"], blocks=block))
     assert got == sorted([(0, 0), (400, 0), (1, 1), (441, 1)])
 
 

@@ -97,7 +97,7 @@ def test_one_hot_group_is_filled_by_many_tasks(spark):
         spark, spark__sql__adaptive__coalescePartitions__enabled="false",
         spark__sql__shuffle__partitions="16",
     ):
-        filled = fill_down(df, "v", ["o"], group=["g"], block=500)
+        filled = fill_down(df, "v", ["o"], group=["g"], blocks=500)
         assert _biggest_share(filled) < 0.35
         wrong = filled.filter(
             ~F.col("v").eqNullSafe(
