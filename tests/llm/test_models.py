@@ -55,7 +55,7 @@ def graded_rows(rng, count):
         words = [f"w{rng.randrange(400)}x" for _ in range(rng.randint(20, 80))]
         grade = rng.choice([0, 1, 2, 2])
         if grade == 0:
-            words += rng.choices(["vile", "nasty", "foul"], k=3)
+            words += rng.sample(["vile", "nasty", "foul", "mean", "rude", "dumb", "crass", "lousy"], 3)
         if grade == 1:
             words = [w.upper() + "!!" for w in words]
         rng.shuffle(words)
