@@ -48,13 +48,10 @@ def staging_folder(spark: SparkSession) -> str:
     return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write an intermediate table once to the shared folder and read it back.
+def land(df: DataFrame) -> str:
+    """Write a table once to the shared folder as Parquet; its path.
 
-    For tables that several later branches read: what lies before is computed one time,
-    and a lost executor costs a re-read instead of a re-run. Parquet keeps reads
-    narrow and tells the planner the real size. The folder goes when the session's JVM
-    ends; ``release`` removes it earlier.
+    The folder goes when the session's JVM ends; ``release`` removes it earlier.
     """
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/quarterline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -62,7 +59,17 @@ def stage(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once to the shared folder and read it back.
+
+    For tables that several later branches read: what lies before is computed one time,
+    and a lost executor costs a re-read instead of a re-run. Parquet keeps reads
+    narrow and tells the planner the real size.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(land(df))
 
 
 def release(spark: SparkSession) -> None:

@@ -417,6 +417,8 @@ ORACLE: dict[str, str] = {
         "SUM(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag"
     ),
     "scan_msd": f"WITH {MSD} SELECT * FROM msd",
+    "read_indicators": f"WITH {MSD} SELECT * FROM msd",
+    "read_targets": f"WITH {TST} SELECT * FROM tst WHERE type = 'PSNUxIM'",
     "snapshot_metadata": f"""WITH {MSD}, last AS (
       SELECT max(fiscal_year * 4 + CASE WHEN qtr4 IS NOT NULL THEN 4 WHEN qtr3 IS NOT NULL THEN 3
         WHEN qtr2 IS NOT NULL THEN 2 ELSE 1 END) AS k

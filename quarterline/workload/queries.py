@@ -25,8 +25,10 @@ from quarterline.operators.shares import (
 from quarterline.plans import achievement as reports
 from quarterline.plans import modality, targets
 from quarterline.sources import harvest as area
-from quarterline.sources.snapshots import latest_snapshot, profile, targets_of_type
-from quarterline.session import stage
+from quarterline.sources.snapshots import (
+    latest_snapshot, profile, read_indicators, read_targets, targets_of_type,
+)
+from quarterline.session import land, stage
 from quarterline.workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +81,17 @@ def scan_msd(spark, sf_dir):
     return t.msd(spark, sf_dir)
 
 
+@named("read_indicators")
+def read_landed_indicators(spark, sf_dir):
+    """The results table as a landed snapshot, through the reader and its schema."""
+    return read_indicators(spark, land(t.msd(spark, sf_dir)))
+
+
+@named("read_targets")
+def read_landed_targets(spark, sf_dir):
+    return read_targets(spark, land(t.tst(spark, sf_dir)), "PSNUxIM")
+
+
 @named("snapshot_metadata")
 def snapshot_metadata_query(spark, sf_dir):
     return snapshot_metadata(t.msd(spark, sf_dir), "results")
