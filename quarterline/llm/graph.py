@@ -12,7 +12,7 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, component) for every id of ``links`` (a, b); the component is its smallest id.
 
     Each round hangs the larger neighbours of every id on its smallest neighbour, then
@@ -21,12 +21,15 @@ def components(links: DataFrame) -> DataFrame:
     sum of ids reach the driver. A hub's links meet in a sort-merge join,
     which adaptive execution can split. Empty links give an empty table; self-links and
     repeated links change nothing.
+
+    With ``rounds``, it stops after so many: ids with one label are connected, but a component may still
+    have several. Links that are stars already need one.
     """
     stars = stage(
         links.filter(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    before = None
+    before, done = None, 0
     while True:
         near = _both_ways(stars)
         low = near.groupBy("a").agg(F.min("b").alias("low"))
@@ -39,6 +42,10 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.filter(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         stars = stage(small.unionAll(low.select("a", F.col("low").alias("b"))).distinct())
+        done += 1
+        if done == rounds:
+            stars = stars.groupBy("a").agg(F.min("b").alias("b"))
+            break
         after = stars.agg(
             F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")),
             F.bit_xor(F.xxhash64("a", "b")),
@@ -46,5 +53,6 @@ def components(links: DataFrame) -> DataFrame:
         if after == before or not after[0]:
             break
         before = after
+    labels = stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
     own = stars.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(own)
+    return labels.unionAll(own.join(labels, "id", "left_anti") if rounds else own)

@@ -257,7 +257,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     stars = postings.join(heads, ["at", "value"]).filter(F.col("id") != F.col("head")).select(
         F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     links = stage(_links(stars, sets, full))
-    first = components(links)
+    # labels that are equal only within a component are enough to tell which pairs are left
+    first = stage(components(links, rounds=1))
     degrees = links.unionAll(links.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("id")).agg(
         F.count("*").alias("degree"))
     placed = postings.join(first.join(degrees, "id"), "id", "left")
