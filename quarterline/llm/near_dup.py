@@ -155,18 +155,12 @@ def _links(pairs: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def _open_lists(placed: DataFrame) -> DataFrame:
-    """Entries of lists with several components, with their list's length, head and largest component.
-
-    The head is the member with most links; it lies near the middle of a group of copies, so most
-    lists of the group share it.
-    """
-    held = placed.groupBy("at", "value", "component").agg(
-        F.count("*").alias("held"), F.min(F.struct(-F.col("degree"), -F.col("n_shared"), "id")).alias("head"))
+    """Entries of lists with several components, with their list's length and largest component."""
+    held = placed.groupBy("at", "value", "component").agg(F.count("*").alias("held"))
     lists = held.groupBy("at", "value").agg(
         F.count("*").alias("parts"), F.sum("held").alias("length"),
-        F.max(F.struct("held", "component")).alias("top"), F.min("head").alias("head"))
-    lists = lists.filter("parts > 1").select(
-        "at", "value", "length", F.col("top.component").alias("main"), F.col("head.id").alias("head"))
+        F.max(F.struct("held", "component")).alias("top"))
+    lists = lists.filter("parts > 1").select("at", "value", "length", F.col("top.component").alias("main"))
     return placed.join(lists, ["at", "value"])
 
 
@@ -182,13 +176,13 @@ def _short_pairs(members: DataFrame) -> DataFrame:
 
 
 def _differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sizes, differences): what b lacks of its head a, marked, and what it has beyond."""
+    """(head, id, sizes, differences): what b has beyond its head a, then what it lacks of it, marked."""
     for part in parts:
         a_sizes, b_sizes, found = [], [], []
         for a, b in zip(part.column("a_members"), part.column("b_members")):
             x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (a, b))
-            lacking = np.setdiff1d(x, y, assume_unique=True) ^ _TIMES[0]
-            found.append(np.concatenate((lacking, np.setdiff1d(y, x, assume_unique=True))).view(np.int64))
+            lacking = np.sort(np.setdiff1d(x, y, assume_unique=True) ^ _TIMES[0])
+            found.append(np.concatenate((np.setdiff1d(y, x, assume_unique=True), lacking)).view(np.int64))
             a_sizes.append(len(x))
             b_sizes.append(len(y))
         yield pa.RecordBatch.from_arrays([
@@ -202,35 +196,44 @@ def _long_pairs(members: DataFrame, full: DataFrame) -> DataFrame:
 
     Sets of sizes n and m are linked if and only if they differ in at most (n + m) / 9 elements. With
     d(x) the number of differences of x from the head, x and y differ in d(x) + d(y) less twice
-    the differences they share. Sets linked with the head are connected already, so one
+    the differences they share. Sets linked with the head are connected by it, so one
     of the two, x, has d(x) above (n(x) + n(head)) / 9. Then the shared differences number at least
-    0.9 * (d(x) - (n(x) + n(head)) / 9) and 4/9 of d(y), which bounds how many of the rarest differences
-    of each must be looked up, and the places of the first one found bound how many can follow.
+    0.9 * (d(x) - (n(x) + n(head)) / 9), at least d(x) - n(x) / 4 since m is at most 5/4 n, and
+    (d(y) + (n(head) - n(y)) / 9) / 2. All sets order their differences alike: first
+    what they have beyond the head, which few share, then what they lack of it. So only the first few of
+    each need be looked up, and the places of the one found bound how many can follow.
     """
-    family = members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    apart = stage(_with_members(family, full).mapInArrow(
-        _differences, "head bigint, id bigint, head_size bigint, size bigint, differences array<bigint>"))
+    # the head is the member of most long lists, then of most links: the lists of a group share it
+    listed = members.join(members.groupBy("id").agg(F.count("*").alias("lists")), "id")
+    heads = listed.groupBy("at", "value").agg(
+        F.min(F.struct(-F.col("lists"), -F.col("degree"), "id"))["id"].alias("head"))
+    family = members.join(heads, ["at", "value"]).filter("id <> head").select(
+        F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    apart = _with_members(family, full).mapInArrow(
+        _differences, "head bigint, id bigint, head_size bigint, size bigint, differences array<bigint>")
+    d = F.size("differences")
     each = apart.select(
-        "head", "id", "size", F.size("differences").alias("d"),
-        (F.size("differences") * 9 <= F.col("size") + F.col("head_size")).alias("linked"),
-        (F.size("differences") - (F.col("size") + F.col("head_size")) / 9).alias("beyond"),
-        F.explode("differences").alias("value"))
-    shared = each.groupBy("head", "value").agg(F.count("*").alias("length")).filter("length > 1")
-    whole = Window.partitionBy("head", "id")
-    least = F.when(F.col("linked"), F.col("d") * 4 / 9).otherwise(F.col("beyond") * 0.9)
-    entries = stage(
-        each.join(shared, ["head", "value"])
-        .withColumn("place", F.col("d") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("length", "value")))
-        .filter(F.col("place") <= F.col("d") - F.greatest(F.ceil(least - 1e-6), F.lit(1)) + 1)
-        .select("head", "value", "id", "size", "d", "linked", "place"))
+        "head", "id", "size", d.alias("d"), "differences",
+        (d * 9 <= F.col("size") + F.col("head_size")).alias("linked"),
+        (d - (F.col("size") + F.col("head_size")) / 9).alias("beyond"),
+        ((d + (F.col("head_size") - F.col("size")) / 9) / 2).alias("half"))
+    least = F.greatest(F.ceil(F.when(F.col("linked"), F.col("half")).otherwise(
+        F.greatest(F.col("beyond") * 0.9, F.col("d") - F.col("size") / 4)) - 1e-6), F.lit(1))
+    looked_up = F.greatest(F.col("d") - least + 1, F.lit(0)).cast("int")
+    entries = stage(each.select(
+        "head", "id", "size", "d", "linked", F.posexplode(F.slice("differences", F.lit(1), looked_up)).alias("at", "value")
+    ).withColumn("place", F.col("at") + 1).drop("at"))
     x = entries.filter(~F.col("linked")).select("head", "value", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "d", "place")])
     y = entries.select("head", "value", *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "d", "place", "linked")])
     needed = F.col("x_d") + F.col("y_d") - (F.col("x_size") + F.col("y_size")) / 9
     possible = 2 * (F.least(F.col("x_d") - F.col("x_place"), F.col("y_d") - F.col("y_place")) + 1)
     once = F.col("y_linked") | (F.col("x_id") < F.col("y_id"))
-    return x.join(y, ["head", "value"]).filter(
+    pairs = x.join(y, ["head", "value"]).filter(
         (F.col("x_id") != F.col("y_id")) & once & (possible >= needed - 1e-6)
-    ).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    ).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    # this head need not be the one that the list's star had
+    own = entries.filter("linked AND place = 1").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
+    return pairs.unionAll(own).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
