@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterline.llm import mixing, ordinal_quality
-from quarterline.llm.near_dup import near_duplicates
+from quarterline.llm.near_dup import BROADCAST_IDS, near_duplicates
 from quarterline.llm.packing import pack_documents
 from quarterline.llm.queries import tokenizer_path
 from quarterline.llm.secret_scan import corpus_samples, find_secrets, redact, train
@@ -34,9 +34,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose doc_id stands for its group; of rows with one doc_id and text, one."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """Rows whose doc_id stands for its group; of rows with one doc_id, one.
+
+    Ids are counted before texts are touched: texts are only shuffled to single out rows if some id is
+    repeated, or if there are more kept ids than a broadcast may have.
+    """
+    kept = stage(near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept")).count())
+    repeated = not kept.filter("count > 1").isEmpty()
+    ids = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
+    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.dropDuplicates(["doc_id"]) if repeated else rows
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
