@@ -34,16 +34,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose doc_id stands for its group; of rows with one doc_id, one.
+    """Rows whose doc_id stands for its group; of rows with one doc_id, one. Of rows without a doc_id, one of each text.
 
     Ids are counted before texts are touched: texts are only shuffled to single out rows if some id is
     repeated, or if there are more kept ids than a broadcast may have.
     """
     kept = stage(near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept")).count())
-    repeated = not kept.filter("count > 1").isEmpty()
+    counts = kept.groupBy().agg(
+        F.coalesce(F.max(F.when(F.col("_kept").isNotNull(), F.col("count"))), F.lit(0)).alias("named"),
+        F.coalesce(F.max(F.when(F.col("_kept").isNull(), F.col("count"))), F.lit(0)).alias("unnamed")).first()
     ids = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
     rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+    if max(counts) <= 1:
+        return rows
+    named, unnamed = rows.filter("doc_id IS NOT NULL"), rows.filter("doc_id IS NULL")
+    return (named.dropDuplicates(["doc_id"]) if counts["named"] > 1 else named).unionAll(unnamed.dropDuplicates(["text"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

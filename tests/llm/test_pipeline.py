@@ -52,3 +52,10 @@ def test_empty_input(spark):
     for _, function in pipeline.STAGES:
         out = function(spark, empty, SF)
         assert out.collect() == []
+
+
+def test_documents_without_an_id_stay(spark, documents):
+    texts = ["one of the texts without an id", "quite another text that has no id either", "", "a third of them"]
+    rows = [(None, text) for text in texts + texts[:1]] + [(1, "text with an id of its own"), (1, "text with an id of its own"), (2, "more")]
+    got = [tuple(r)[:2] for r in pipeline.near_dedup(spark, documents(rows), SF).collect()]
+    assert sorted(got, key=str) == sorted([(None, text) for text in texts] + [(1, "text with an id of its own"), (2, "more")], key=str)
