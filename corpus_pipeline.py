@@ -14,6 +14,9 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +29,28 @@ from quarterline.session import stage
 
 #: a small source is read at most so often
 MAX_REPEAT = 2.0
+#: columns of documents that stages work on
+OWN = ("doc_id", "text", "source", "n_chars")
+
+
+def keeps_columns(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage that returns the columns of its documents, with extra ones under spare names while it works."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spare = [name if name in OWN else f"_extra_{k}" for k, name in enumerate(docs.columns)]
+        return function(spark, docs.toDF(*spare), sf_dir).toDF(*docs.columns)
+
+    return run
 
 
+@keeps_columns
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ratings = ordinal_quality.grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return ordinal_quality.select(docs, ordinal_quality.fit(docs, ratings))
 
 
+@keeps_columns
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose doc_id stands for its group; of rows with one doc_id, one. Of rows without a doc_id, one of each text.
 
@@ -51,12 +69,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return (named.dropDuplicates(["doc_id"]) if counts["named"] > 1 else named).unionAll(unnamed.dropDuplicates(["text"]))
 
 
+@keeps_columns
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = redact(find_secrets(docs, train(corpus_samples(docs))))
     return found.withColumn(
         "n_chars", F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@keeps_columns
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.plan(docs, max_repeat=MAX_REPEAT)).select(*docs.columns)
 

@@ -59,3 +59,14 @@ def test_documents_without_an_id_stay(spark, documents):
     rows = [(None, text) for text in texts + texts[:1]] + [(1, "text with an id of its own"), (1, "text with an id of its own"), (2, "more")]
     got = [tuple(r)[:2] for r in pipeline.near_dedup(spark, documents(rows), SF).collect()]
     assert sorted(got, key=str) == sorted([(None, text) for text in texts] + [(1, "text with an id of its own"), (2, "more")], key=str)
+
+
+def test_extra_columns_keep_their_values(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr(
+        "*", "doc_id * 3 AS epoch", "concat('p', doc_id) AS position", "doc_id + 1 AS spans", "-doc_id AS _kept", "doc_id * 2 AS _rate")
+    given = {tuple(r)[5:] for r in docs.collect()}
+    for name, function in pipeline.STAGES[:4]:
+        out = function(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        found = {tuple(r)[5:] for r in out.collect()}
+        assert found and found <= given, name
