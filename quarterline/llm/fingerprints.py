@@ -56,14 +56,20 @@ def _bits(h: Column, shift: int, count: int) -> Column:
     return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << count) - 1).cast("bigint"))
 
 
-def with_parts(rows: DataFrame, text: str, table: bytes, name: str) -> DataFrame:
-    """``rows`` with ``name``: array of ``LEVELS * SUBSETS`` part hashes, '' for a part without terms."""
+def with_parts(rows: DataFrame, text: str, table: bytes, name: str, own_terms: bool = False) -> DataFrame:
+    """``rows`` with ``name``: array of ``LEVELS * SUBSETS`` part hashes, '' for a part without terms.
+
+    With ``own_terms``, a text that has terms but none of the lexicon is cut by all of its terms.
+    """
     bucket_bytes = F.lit(bytearray(table))
     place = F.lit(BUCKETS - 1).cast("bigint")
     levels = [f"{name}_level{k}" for k in range(LEVELS)]
-    rows = rows.withColumn(levels[0], F.filter(
-        term_hashes(F.col(text)),
+    terms = f"{name}_terms"
+    rows = rows.withColumn(terms, term_hashes(F.col(text))).withColumn(levels[0], F.filter(
+        terms,
         lambda h: F.substring(bucket_bytes, (h.bitwiseAND(place) + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\1"))))
+    if own_terms:
+        rows = rows.withColumn(levels[0], F.when(F.size(levels[0]) == 0, F.col(terms)).otherwise(F.col(levels[0])))
     shift = _BUCKET_BITS
     shifts = [shift]
     for k in range(1, LEVELS):
@@ -78,7 +84,7 @@ def with_parts(rows: DataFrame, text: str, table: bytes, name: str) -> DataFrame
         return F.when(F.size(own) == 0, F.lit("")).otherwise(F.substring(F.lpad(digits, 16, "0"), 17 - _DIGITS, _DIGITS))
 
     parts = [part(level, shift, number) for level, shift in zip(levels, shifts) for number in range(SUBSETS)]
-    return rows.withColumn(name, F.array(*parts)).drop(*levels)
+    return rows.withColumn(name, F.array(*parts)).drop(terms, *levels)
 
 
 def spelled(parts: Column) -> Column:
@@ -142,21 +148,22 @@ def edited_text(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - third), F.substring(following, F.lit(1), third))
 
 
-def fingerprints(docs: DataFrame, table: bytes | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, table: bytes | None = None, own_terms: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is ``edited_text`` with the next document's. ``near_edited`` and ``near_next`` are the
     likeness of the fingerprint to the edited text's and to the next document's. A NULL text is an empty one;
-    texts without a term of the lexicon have the empty fingerprint and are alike. Repeated rows
-    have equal fingerprints; other columns are ignored; an empty table gives an empty one.
+    texts without a term of the lexicon have the empty fingerprint and are alike; with ``own_terms`` that holds for texts without
+    any term only, and one without a term of the lexicon has the fingerprint of all its terms, so that it is equal to another's
+    only if their terms are. Repeated rows have equal fingerprints; other columns are ignored; an empty table gives an empty one.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     table = lexicon(docs) if table is None else table
-    rows = with_next(docs, lambda rows: with_parts(rows, "text", table, "parts"), ["text", "parts"])
+    rows = with_next(docs, lambda rows: with_parts(rows, "text", table, "parts", own_terms), ["text", "parts"])
     rows = rows.select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), "parts",
         F.col("next.parts").alias("next_parts"), edited_text(F.col("text"), F.col("next.text")).alias("edited"))
-    rows = with_parts(rows, "edited", table, "edited_parts")
+    rows = with_parts(rows, "edited", table, "edited_parts", own_terms)
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         spelled(F.col("parts")).alias("fingerprint"), spelled(F.col("edited_parts")).alias("edited_fingerprint"),

@@ -115,7 +115,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(_table(spark, sf_dir, "documents"))
+    return fingerprints(_table(spark, sf_dir, "documents"), own_terms=True)
 
 
 @_query

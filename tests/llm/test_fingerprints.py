@@ -90,3 +90,15 @@ def test_one_row_repeated_rows_and_none(documents):
     same = f.fingerprints(documents([(1, "abc def")] * 3 + [(None, "x")])).collect()
     assert len(same) == 4
     assert f.fingerprints(documents([])).collect() == []
+
+
+def test_texts_without_lexicon_terms_are_alike_only_if_their_terms_are(documents):
+    rows = [(6, "rare words here"), (5, "none of those there"), (4, "There of those, none"), (3, ""), (2, None), (1, "!")]
+    df = documents(rows)
+    got = {r["doc_id"]: r for r in f.fingerprints(df, bytes(f.BUCKETS), own_terms=True).collect()}
+    marks = [got[i]["fingerprint"] for i in (6, 5, 4, 3, 2, 1)]
+    assert marks[1] == marks[2] and marks[3] == marks[4] == marks[5] and len(set(marks)) == 3
+    assert [got[i]["near_next"] == 1.0 for i in (6, 5, 4, 3, 2, 1)] == [False, True, False, True, True, False]
+    table = f.lexicon(df)
+    assert [r["fingerprint"] for r in f.fingerprints(df, table, own_terms=True).orderBy("doc_id").collect()] != [
+        r["fingerprint"] for r in f.fingerprints(df, table).orderBy("doc_id").collect()]
