@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,11 @@ from quarterline.llm.packing import pack_documents
 from quarterline.llm.perspectives import views
 from quarterline.llm.quality_rules import apply_policy, ledger, policy_mask
 from quarterline.llm.secret_scan import corpus_samples, find_secrets, listed, train
+from quarterline.llm.token_cache import count_tokens
+from quarterline.llm.vector_codes import compress
+from quarterline.llm.whitening import whitened
 from quarterline.llm.wrappers import host_wrappers, main_texts
-from quarterline.session import stage
+from quarterline.session import stage, staging_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,11 +34,11 @@ def _query(function):
     return function
 
 
-def tokenizer_path() -> str:
-    """Place of the public vocabulary file; imported late, only packing needs the package."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file; imported late, only packing and counting need the package."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,3 +171,68 @@ SELECT conv_id, speaker, position, role, segment, start, length,
   CASE WHEN own THEN start + length - 1 END AS mask_end
 FROM placed
 """
+
+
+@_query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op12_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache of its own, so that every call counts all texts."""
+    cache = f"{staging_folder(spark)}/quarterline-{spark.sparkContext.applicationId}/token-counts-{uuid.uuid4().hex}"
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), cache)
+
+
+@_query
+def op13_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _nearest(books: str) -> str:
+    return f"""
+  SELECT p, vec_id, any_value(label) AS label, any_value(part) AS part, min(d) AS d, arg_min(e, d * 64 + e) AS e
+  FROM (
+    SELECT p, vec_id, label, part, e,
+      CAST(list_sum(list_transform(range(1, len(part) + 1), lambda k: (part[k] - entry[k]) * (part[k] - entry[k]))) AS BIGINT) AS d
+    FROM parts JOIN {books} USING (p))
+  GROUP BY p, vec_id"""
+
+
+def _means(near: str, books: str) -> str:
+    return f"""
+  SELECT p, e, coalesce(fresh, entry) AS entry
+  FROM {books} LEFT JOIN (
+    SELECT p, e, list(mean ORDER BY k) AS fresh
+    FROM (
+      SELECT p, e, k, CAST(floor(sum(v) / count(*)) AS BIGINT) AS mean
+      FROM (SELECT p, e, unnest(part) AS v, unnest(range(len(part))) AS k FROM {near}) GROUP BY p, e, k)
+    GROUP BY p, e) USING (p, e)"""
+
+
+ORACLE["op13_dual_tree_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT vec_id, label, p, x[p * len(x) // 16 + 1 : (p + 1) * len(x) // 16] AS part
+  FROM kept, (SELECT unnest(range(16)) AS p)),
+books0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part AS entry
+  FROM parts QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 64),
+near0 AS ({_nearest("books0")}),
+books1 AS ({_means("near0", "books0")}),
+near1 AS ({_nearest("books1")}),
+books2 AS ({_means("near1", "books1")}),
+near2 AS ({_nearest("books2")}),
+spelled AS (
+  SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, k)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(entry) AS v, unnest(range(len(entry))) AS k FROM books2)),
+coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded, spelled
+"""
