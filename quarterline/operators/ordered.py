@@ -1,14 +1,17 @@
-"""Verbs for which row order carries meaning. The order is always an explicit column."""
+"""Verbs for which row order carries meaning. The order is always an explicit column.
+
+What earlier rows amount to is a prefix scan: rows are sorted once into ranges of (group, order), each range is
+worked off by one task, and what the ranges before say about a group enters each range as one value.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterline.operators.blocks import range_block, range_bounds
-from quarterline.session import shuffle_partitions, stage
+from quarterline.session import shuffle_partitions, stage_bucketed
 
 
 def fill_up(df: DataFrame, column: str, group: Sequence[str], order: str) -> DataFrame:
@@ -34,16 +37,14 @@ def fill_down(
 ) -> DataFrame:
     """Replace NULL by the last earlier non-NULL value, within ``group`` or over all rows.
 
-    ``order``  integer columns, most significant first, that number the rows of a
-               group uniquely.
-    ``few``    those of them with few values, which need no blocks.
-    ``blocks`` ranges that each other column is cut into, at quantiles of its values; by default a few per
-               shuffle partition.
+    ``order``  columns, most significant first, that number the rows of a group uniquely.
+    ``few``    not needed: order columns with few values are treated like any other.
+    ``blocks`` ranges of rows to cut into, by default one per shuffle partition and at most ``MOST_RANGES``
+               times as many.
 
     See ``_before`` for how a long group is spread over tasks.
     """
-    levels = _levels(df, order, few, blocks)
-    out = _before(df.withColumns(levels), column, list(group), list(levels), "last")
+    out = _before(df, column, group, order, "last", blocks)
     return out.withColumn(column, F.coalesce(F.col(column), F.col("_before"))).select(*df.columns)
 
 
@@ -56,9 +57,8 @@ def row_index(
     blocks: int | None = None,
 ) -> DataFrame:
     """Number the rows of a group, or of the table, from 0 in the given order."""
-    levels = _levels(df, order, few, blocks)
-    counted = df.withColumns(levels).withColumn("_one", F.lit(1).cast("bigint"))
-    out = _before(counted, "_one", list(group), list(levels), "sum")
+    counted = df.withColumn("_one", F.lit(1).cast("bigint"))
+    out = _before(counted, "_one", group, order, "sum", blocks)
     return out.select(*df.columns, F.coalesce(F.col("_before"), F.lit(0)).alias(name))
 
 
@@ -80,65 +80,54 @@ def previous_value(
     blocks: int | None = None,
 ) -> DataFrame:
     """Add the last non-NULL value of ``column`` before each row in the order of the whole table."""
-    levels = _levels(df, order, few, blocks)
-    out = _before(df.withColumns(levels), column, [], list(levels), "last")
+    out = _before(df, column, (), order, "last", blocks)
     return out.select(*df.columns, F.col("_before").alias(name))
 
 
-def _levels(
-    df: DataFrame, order: Sequence[str], few: Sequence[str], blocks: int | None
-) -> dict[str, Column]:
-    """Order columns with a block number before each that may run long.
-
-    Blocks are cut at quantiles taken from the data once, so dense, sparse and hashed
-    keys give blocks of about as many rows.
-    """
-    count = blocks or 4 * shuffle_partitions(df.sparkSession)
-    levels: dict[str, Column] = {}
-    for i, name in enumerate(order):
-        if name not in few:
-            levels[f"_block_{i}"] = range_block(F.col(name), range_bounds(df, name, count))
-        levels[f"_order_{i}"] = F.col(name)
-    return levels
+#: ranges per shuffle partition, beyond which more of them would only make smaller tasks
+MOST_RANGES = 4
 
 
 def _before(
-    df: DataFrame, column: str, group: list[str], order: list[str], how: str
+    df: DataFrame, column: str, group: Sequence[str], order: Sequence[str], how: str, blocks: int | None
 ) -> DataFrame:
     """Add ``_before``: what the rows before this one in the group amount to.
 
-    ``how`` is ``last`` (their last non-NULL value) or ``sum``. Rows are windowed
-    inside one value of all but the last order column, at most a block. The blocks'
-    own summaries form a table of a row per block, which is treated the same
-    way; what it says about earlier blocks enters each block as an opening row.
-    Block borders are constants of the plan, so every pass cuts alike whatever the row
-    placement, and the rows themselves are shuffled once.
+    ``how`` is ``last`` (their last non-NULL value) or ``sum``. Rows are sorted into ranges of (group, order) by
+    Spark's range partitioning, whose borders come from a sample of the rows and stay with the executors: no border is
+    part of a plan. The ranges are staged as buckets, so that this one shuffle serves the scan inside
+    them too. Groups follow each other, so only a range's last group can go on in later ranges: one row per range,
+    with that group and what it amounts to there, is all that is put in order over the whole table and sent back.
     """
-    *outer, last = order
-    part = [*group, *outer]
+    most = shuffle_partitions(df.sparkSession)
+    ranges = max(1, min(blocks or most, MOST_RANGES * most))
+    # plain names: a staged table takes any column name then
+    names = {name: f"_c{i}" for i, name in enumerate(df.columns)}
+    value, by, keys = names[column], [names[name] for name in order], [names[name] for name in group]
+    rows = stage_bucketed(
+        df.toDF(*names.values()).repartitionByRange(ranges, *keys, *by).withColumn("_range", F.spark_partition_id()),
+        ranges, "_range", [*keys, *by])
+    # one field even without a group, so that it can be compared
+    rows = rows.withColumn("_group", F.struct(F.lit(0).alias("_"), *keys))
     if how == "last":
-        summary = F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(last)))
+        summary = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*by)))
+        so_far = lambda name: F.last(name, ignorenulls=True)
     else:
-        summary = F.sum(column)
-    rows = df.withColumn("_opening", F.lit(False))
-    if outer:
-        blocks = df.groupBy(*part).agg(summary.alias("_summary"))
-        if len(outer) > 1:
-            # read once per further level; staged, the rows themselves are read twice in all
-            blocks = stage(blocks)
-        opening = (
-            _before(blocks, "_summary", group, outer, how)
-            .filter(F.col("_before").isNotNull())
-            .select(*part, F.col("_before").alias(column), F.lit(True).alias("_opening"))
-        )
-        rows = rows.unionByName(opening, allowMissingColumns=True)
-    earlier = (
-        Window.partitionBy(*part).orderBy(F.col("_opening").desc(), last)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    so_far = F.last(column, ignorenulls=True) if how == "last" else F.sum(column)
-    return (
-        rows.withColumn("_before", so_far.over(earlier))
-        .filter(~F.col("_opening"))
-        .drop("_opening")
-    )
+        summary, so_far = F.sum(value), F.sum
+    ends = rows.groupBy("_range", "_group").agg(summary.alias("_sum")).groupBy("_range").agg(
+        F.min("_group").alias("_first"), F.max("_group").alias("_last"), F.max_by("_sum", "_group").alias("_sum"))
+    upto = Window.partitionBy("_last").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = ends.withColumn("_sum", so_far("_sum").over(upto)).withColumn(
+        "_left", F.lag(F.struct("_last", "_sum")).over(Window.orderBy("_range")))
+    opening = running.filter(F.col("_left._last") == F.col("_first")).select(
+        F.col("_range").alias("_at"), F.col("_first").alias("_goes_on"), F.col("_left._sum").alias("_opening"))
+    # a row per range at most
+    placed = rows.join(F.broadcast(opening), (F.col("_range") == F.col("_at")) & (F.col("_group") == F.col("_goes_on")), "left")
+    earlier = Window.partitionBy("_range", "_group").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = so_far(value).over(earlier)
+    if how == "last":
+        before = F.coalesce(inside, F.col("_opening"))
+    else:
+        before = F.coalesce(inside + F.col("_opening"), inside, F.col("_opening"))
+    found = placed.withColumn("_before", before)
+    return found.select(*[F.col(new).alias(name) for name, new in names.items()], "_before")

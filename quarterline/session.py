@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,13 +41,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables, the same rule under every master.
+    """Folder for intermediate tables that all executors share.
 
-    ``spark.checkpoint.dir`` where the session names one; otherwise a folder in the
-    warehouse, which all executors share by definition.
+    ``spark.checkpoint.dir`` where the session names one, otherwise a folder in the warehouse. A warehouse on the
+    machine's own disk serves a master on the same machine only; elsewhere it raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    own_disk = re.match(r"file:|/", warehouse) or ":" not in warehouse
+    if own_disk and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/_staged"
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{staging_folder(spark)}/quarterline-{spark.sparkContext.applicationId}"
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def land(df: DataFrame) -> str:
@@ -54,11 +71,9 @@ def land(df: DataFrame) -> str:
     The folder goes when the session's JVM ends; ``release`` removes it earlier.
     """
     spark = df.sparkSession
-    path = f"{staging_folder(spark)}/quarterline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _at_exit(spark, path)
     return path
 
 
@@ -72,9 +87,28 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(land(df))
 
 
+#: catalog names of bucketed tables; the rest of the name is random
+_BUCKETED = "quarterline_staged_"
+
+
+def stage_bucketed(df: DataFrame, buckets: int, column: str, sort: Sequence[str] = ()) -> DataFrame:
+    """``stage``, with rows of one ``column`` value in one bucket: what groups by it later needs no shuffle.
+
+    Where rows already lie by that column, every task writes a bucket of its own. The table is in the session's catalog
+    until ``release``; its files go with the others.
+    """
+    spark = df.sparkSession
+    name = _BUCKETED + uuid.uuid4().hex
+    path = f"{_session_folder(spark)}/{name}"
+    writer = df.write.format("parquet").option("path", path).bucketBy(buckets, column)
+    (writer.sortBy(*sort) if sort else writer).saveAsTable(name)
+    _at_exit(spark, path)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> None:
     """Remove every table staged so far; only once no result that reads one is needed."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(
-        f"{staging_folder(spark)}/quarterline-{spark.sparkContext.applicationId}")
+    for table in spark.catalog.listTables(pattern=_BUCKETED + "*"):
+        spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

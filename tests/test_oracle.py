@@ -1,10 +1,12 @@
-"""Every registered query against its SQL on the smallest data."""
+"""Every query of the library against its SQL on the smallest data."""
 
 import os
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from quarterline.workload.oracle import ORACLE
+from quarterline.workload.queries import QUERIES
 from tests.oracle_check import connect, differences
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -15,9 +17,9 @@ def connection():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, connection, name):
-    assert differences(queries()[name](spark, SF_DIR), connection, oracle_sql()[name]) == []
+    assert differences(QUERIES[name](spark, SF_DIR), connection, ORACLE[name]) == []
 
 
 def test_comparison_notices_a_changed_value(spark, connection):
@@ -28,9 +30,7 @@ def test_comparison_notices_a_changed_value(spark, connection):
 
 
 def test_every_query_has_sql():
-    from quarterline.workload.queries import QUERIES
-
-    assert set(QUERIES) <= set(oracle_sql())
+    assert set(QUERIES) <= set(oracle_sql()) and set(QUERIES) <= set(queries())
 
 
 def test_entry_is_lazy_and_has_rows(spark):

@@ -2,19 +2,21 @@
 
 import re
 from contextlib import contextmanager
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from quarterline import session
 from quarterline.operators.aggregate import exact_median
 from quarterline.operators.combine import fix_mech_names
 from quarterline.operators.grid import complete_grid
-from quarterline.operators.ordered import fill_down, fill_up
+from quarterline.operators.ordered import every_nth, fill_down, fill_up
 from quarterline.operators.shares import period_totals
 from quarterline.sources.snapshots import read_indicators, write_by
 from quarterline.schemas import INDICATOR_RESULTS
 from quarterline.workload import tables as t
+from quarterline.workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -37,17 +39,17 @@ def settings(spark, **values):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: their last step orders a handful of rows: category ranks, blocks of blocks
+#: their last step orders a handful of rows: category ranks, one row per range
 FEW_ROWS_TO_ONE_TASK = {
     "category_order", "modality_by_mech", "modality_index", "modality_index_two_keys",
-    "every_nth_order", "fill_operating_unit_run_on",
+    "every_nth", "every_nth_order", "fill_operating_unit_run_on",
 }
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_no_cross_join_no_single_task(spark, name):
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-        text = plan(queries()[name](spark, SF_DIR))
+        text = plan(QUERIES[name](spark, SF_DIR))
     for word in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas"):
         assert word not in text
     singles = re.findall(r"Exchange SinglePartition.*\n\W*(.*)", text)
@@ -58,7 +60,7 @@ def test_no_python_no_cross_join_no_single_task(spark, name):
 
 def test_filters_and_columns_reach_the_scans(spark):
     with settings(spark, spark__sql__maxMetadataStringLength="5000"):
-        text = plan(queries()["filter_conjunctive"](spark, SF_DIR))
+        text = plan(QUERIES["filter_conjunctive"](spark, SF_DIR))
     assert "EqualTo(p_type,PROMO)" in text
     lineitem = next(s for s in re.findall(r"ReadSchema: struct<(.*?)>", text) if "l_orderkey" in s)
     assert "l_tax" not in lineitem and "l_extendedprice" not in lineitem
@@ -105,6 +107,40 @@ def test_one_hot_group_is_filled_by_many_tasks(spark):
         assert filled.count() == n and wrong.count() == 0
 
 
+@pytest.mark.parametrize("verb", [
+    lambda df, n: fill_down(df, "v", ["o"], group=["g"], blocks=n), lambda df, n: every_nth(df, 7, ["o"], ["g"], blocks=n)])
+def test_a_scan_shuffles_rows_once_and_holds_no_border(spark, verb):
+    df = spark.range(20_000).selectExpr("id % 3 AS g", "id AS o", "if(id % 50 = 7, id, null) AS v")
+    with settings(spark, spark__sql__shuffle__partitions="8"):
+        few, many = (plan(verb(df, n)) for n in (2, 10 ** 6))
+    # rows lie in buckets; what moves is a row per range
+    assert few.count("Exchange hashpartitioning") == 1 and few.count("Exchange SinglePartition") == 1
+    assert "Exchange hashpartitioning(_last" in few and "Bucketed: true" in few
+    assert abs(len(many) - len(few)) < 300
+
+
+def test_release_drops_staged_tables(spark):
+    df = fill_down(spark.range(10).selectExpr("id AS o", "id AS v"), "v", ["o"])
+    assert df.count() == 10 and spark.catalog.listTables(pattern="quarterline_staged_*")
+    path = session._session_folder(spark)
+    session.release(spark)
+    assert not spark.catalog.listTables(pattern="quarterline_staged_*")
+    assert not list(Path(path.removeprefix("file:")).glob("*"))
+
+
+def test_a_local_warehouse_serves_a_local_master_only(spark):
+    class Elsewhere:
+        conf = spark.conf
+
+        class sparkContext:
+            master = "yarn"
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.staging_folder(Elsewhere)
+    assert session.staging_folder(spark)
+
+
 def test_median_of_one_hot_category_sorts_only_its_bracket(spark):
     df = spark.range(200_000).select(
         F.lit("hot").alias("c"), ((F.col("id") * 7919) % 200_003).cast("double").alias("v"))
