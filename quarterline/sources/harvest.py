@@ -14,6 +14,7 @@ from quarterline.functions.labels import age_label, recode
 from quarterline.functions.predicates import number
 from quarterline.operators.ordered import fill_down, previous_value
 from quarterline.schemas import AREA_LINE
+from quarterline.session import stage
 
 # What a full harvest asks for, in its order.
 INDICATORS = ("unaware_plhiv_num", "population", "aware_plhiv_prop")
@@ -64,126 +65,173 @@ def request_url(base_url: str) -> Column:
     return F.concat(F.lit(base_url), *parts)
 
 
-def _records(payload: Column) -> Column:
+#: stand-ins for a quoted line break and for a comma between fields, and what spells them where a text has them itself
+_HIDDEN, _NEXT, _ESCAPE = "\x1e", "\x1f", "\x1d"
+_SPELLED = ((_ESCAPE, _ESCAPE + "0"), (_HIDDEN, _ESCAPE + "1"), (_NEXT, _ESCAPE + "2"))
+
+
+def _once(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that are computed once per row, however many expressions read them.
+
+    The optimiser writes a projected expression again wherever it is read, but moves none across a generator.
+    """
+    for name, value in values.items():
+        df = df.select("*", F.explode_outer(F.array(value)).alias(name))
+    return df
+
+
+def _spelled(text: Column) -> Column:
+    """Line breaks as one character, and no stand-in in the text itself."""
+    breaks = F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    safe = breaks
+    for sign, spelling in _SPELLED:
+        safe = F.replace(safe, F.lit(sign), F.lit(spelling))
+    return F.when(text.rlike("[\x1d-\x1f]"), safe).otherwise(breaks)
+
+
+def _unspelled(field: Column) -> Column:
+    plain = field
+    for sign, spelling in reversed(_SPELLED):
+        plain = F.replace(plain, F.lit(spelling), F.lit(sign))
+    return F.when(field.contains(_ESCAPE), plain).otherwise(field)
+
+
+def _records(text: Column) -> Column:
     """Lines of a CSV text, quoted line breaks kept inside their line; NULL where a quote stays open.
 
     A line break inside quotes follows an odd number of quotes. Cut at quotes, every second
     piece is quoted text, in which breaks are hidden before the text is cut at the others.
     """
-    pieces = F.split(F.regexp_replace(payload, r"\r\n?", "\n"), '"', -1)
-    hidden = F.transform(pieces, lambda piece, i: F.when(
+    hidden = F.transform(F.split(text, '"', -1), lambda piece, i: F.when(
         i % 2 == 1, F.translate(piece, "\n", _HIDDEN)).otherwise(piece))
-    lines = F.split(F.array_join(hidden, '"'), "\n", -1)
-    return F.when(F.size(pieces) % 2 == 1, F.filter(lines, lambda line: line != ""))
+    closed = (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 0
+    lines = F.when(~text.contains('"'), F.split(text, "\n", -1)).when(closed, F.split(F.array_join(hidden, '"'), "\n", -1))
+    return F.filter(lines, lambda line: line != "")
 
 
 def _fields(line: Column) -> Column:
     """Fields of one line without their quotes; two quotes inside a quoted field are one."""
-    pieces = F.split(line, '"', -1)
-    marked = F.transform(pieces, lambda piece, i: F.when(
+    marked = F.transform(F.split(line, '"', -1), lambda piece, i: F.when(
         i % 2 == 0, F.translate(piece, ",", _NEXT)).otherwise(piece))
-    fields = F.split(F.array_join(marked, '"'), _NEXT, -1)
-    quoted = F.transform(fields, lambda field: F.when(
+    quoted = F.transform(F.split(F.array_join(marked, '"'), _NEXT, -1), lambda field: _unspelled(F.when(
         field.contains('"'),
         F.translate(F.replace(F.regexp_replace(F.btrim(field), r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')), _HIDDEN, "\n"),
-    ).otherwise(field))
-    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1))
+    ).otherwise(field)))
+    plain = F.split(line, ",", -1)
+    return F.when(line.contains('"'), quoted).when(line.contains(_ESCAPE), F.transform(plain, _unspelled)).otherwise(plain)
 
 
-#: stand-ins for a quoted line break and for a comma between fields; control characters of no text
-_HIDDEN, _NEXT = "\x1e", "\x1f"
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]
 
 
 def payload_problem(schema: str = AREA_LINE) -> Column:
-    """Why ``payload``, cut into ``_table``, is no table of at least the columns of ``schema``; NULL if it is one."""
-    lines = F.col("_table")
-    head = F.transform(F.get(lines, F.lit(0)), lambda name: F.lower(F.btrim(name)))
-    wanted = F.array(*[F.lit(part.split()[0]) for part in schema.split(",")])
-    ragged = F.exists(
-        F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda line: F.size(line) != F.size(F.get(lines, F.lit(0))))
+    """Why ``_payload``, cut into ``_table`` under the names ``_head``, has no table; NULL if it has one."""
+    lines, head = F.col("_table"), F.col("_head")
+    lacking = F.array_except(F.array(*map(F.lit, _names(schema))), head)
     return (
-        F.when(F.col("payload").isNull(), F.lit("no payload"))
+        F.when(F.col("_payload").isNull(), F.lit("no payload"))
         .when(lines.isNull(), F.lit("a quote is not closed"))
         .when(F.size(lines) == 0, F.lit("empty payload"))
-        .when(F.size(F.array_except(wanted, head)) > 0, F.concat(
-            F.lit("missing columns: "), F.array_join(F.array_except(wanted, head), ", ")))
+        .when(F.size(lacking) > 0, F.concat(F.lit("missing columns: "), F.array_join(lacking, ", ")))
         .when(F.size(F.array_distinct(head)) < F.size(head), F.lit("a column twice"))
-        .when(ragged, F.lit("a line with another number of fields"))
     )
 
 
-def _read(responses: DataFrame, schema: str) -> DataFrame:
-    """Responses with ``_table``, the fields of their records, and ``problem``."""
-    cut = responses.withColumn("_table", F.transform(_records(F.col("payload")), _fields))
-    return cut.withColumn("problem", payload_problem(schema))
+def _read(responses: DataFrame, carry: Sequence[str], schema: str) -> DataFrame:
+    """``carry``, ``_table`` (the fields of all records), ``_head`` (names), ``_form`` (problem, width, a place per column)."""
+    cut = _once(
+        responses.select(*carry, F.explode_outer(F.array("payload")).alias("_payload")), _text=_spelled(F.col("_payload")))
+    cut = _once(cut, _table=F.transform(_records(F.col("_text")), _fields)).drop("_text")
+    first = F.get("_table", F.lit(0))
+    cut = _once(cut, _head=F.transform(first, lambda name: F.lower(F.btrim(name))))
+    places = [(F.array_position("_head", F.lit(name)).cast("int") - 1).alias(name) for name in _names(schema)]
+    form = F.struct(payload_problem(schema).alias("problem"), F.size("_head").alias("width"), F.struct(*places).alias("at"))
+    return _once(cut, _form=form).drop("_payload")
 
 
 def failed_requests(responses: DataFrame, carry: Sequence[str], schema: str = AREA_LINE) -> DataFrame:
-    """Requests whose payload is no table, with the ``problem``; the other side of ``on_problem="skip"``."""
-    return _read(responses, schema).filter(F.col("problem").isNotNull()).select(*carry, "problem")
+    """Requests whose payload is no table, or has lines that ``rejected_lines`` lists, with the ``problem``."""
+    read = _read(responses, carry, schema)
+    ragged = F.exists("_table", lambda line: F.size(line) != F.col("_form.width"))
+    problem = F.coalesce(F.col("_form.problem"), F.when(ragged, F.lit("a line with another number of fields")))
+    return read.select(*carry, problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def rejected_lines(responses: DataFrame, carry: Sequence[str], schema: str = AREA_LINE) -> DataFrame:
+    """Lines that ``parse_payloads`` leaves out of payloads it reads: ``line_no``, ``fields``, ``reason``."""
+    read = _read(responses, carry, schema).filter(F.col("_form.problem").isNull())
+    lines = read.select(*carry, "_form", F.posexplode("_table").alias("line_no", "fields"))
+    given = F.size("fields")
+    return lines.filter(given != F.col("_form.width")).select(
+        *carry, "line_no", "fields",
+        F.concat(given.cast("string"), F.lit(" fields instead of "), F.col("_form.width").cast("string")).alias("reason"))
 
 
 def parse_payloads(
     responses: DataFrame, carry: Sequence[str], schema: str = AREA_LINE, on_problem: str = "skip",
-    name: str | None = "area",
+    name: str | None = "area", others: str | None = None,
 ) -> DataFrame:
     """Lines of each CSV payload, with ``line_no`` from 1 and the request's own columns.
 
     Columns are found by their name in the header, in any order; those that ``schema`` does not
-    name are ignored. Quoted commas, quotes and line breaks belong to their field. A payload
-    that is no such table (NULL, an error message, an open quote, a line with another number of fields) has
-    no rows here and a reason in ``failed_requests``; with ``on_problem="fail"`` it fails the job.
-    Numbers that do not parse become NULL. Lines are cut where the payload lies, without a shuffle.
+    name are left out, or put into a map by name under ``others``. Quoted commas, quotes and line breaks belong to
+    their field. A line with another number of fields than the header is left out alone and
+    listed by ``rejected_lines``, the others keep their number. A payload that is no such table (NULL, an error message,
+    an open quote) has no rows here and a reason in ``failed_requests``; with ``on_problem="fail"``
+    either fails the job. Numbers that do not parse become NULL. A payload is cut and read once, where it lies, without a shuffle.
     """
-    return _lines(responses, carry, schema, on_problem, name, None).select(*carry, "line_no", *_names(schema))
-
-
-def _names(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(",")]
+    extra = [others] if others else []
+    return _lines(responses, carry, schema, on_problem, name, None, others=others).select(
+        *carry, "line_no", *_names(schema), *extra)
 
 
 def _lines(
     responses: DataFrame, carry: Sequence[str], schema: str, on_problem: str, name: str | None, top: str | None,
-    run_on: Sequence[str] = (),
+    run_on: Sequence[str] = (), others: str | None = None,
 ) -> DataFrame:
     """One row per line; with ``top``, that column holds ``name`` of the last line of level 0 so far.
 
     So far in the payload, or with ``run_on`` in all payloads in that order.
     """
     names = _names(schema)
-    read = _read(responses, schema)
+    read = _read(responses, carry, schema)
+    sound = F.col("_form.problem").isNull()
+    if on_problem == "fail":
+        sound = F.assert_true(sound, F.concat(F.lit("payload: "), F.col("_form.problem"))).isNull()
+    read = read.filter(sound)
+
+    def text(row: Column, column: str) -> Column:
+        return F.get(row, F.col(f"_form.at.{column}"))
+
+    if top is not None:
+        # the level-0 lines with their places, then for each line the last of them: no shuffle
+        above = F.filter(
+            F.transform("_table", lambda row, i: F.when(
+                (i > 0) & (F.size(row) == F.col("_form.width")) & (number(text(row, "level")) == 0),
+                F.struct(i.alias("i"), text(row, name).alias("v")))),
+            lambda x: x["v"].isNotNull())
+        read = _once(read, _above=above)
+        earlier = F.lit(None).cast("string")
+        if run_on:
+            # putting rows in order reads them twice, to find borders and to move them: not the parse, too
+            read = stage(read.withColumn(top, F.try_element_at("_above", F.lit(-1))["v"]))
+            read = previous_value(read, top, list(run_on), name="_earlier")
+            earlier = F.col("_earlier")
+        read = read.withColumn("_earlier", earlier)
+    kept = [*carry, "_form", *(["_above", "_earlier"] if top else []), *(["_head"] if others else [])]
+    lines = read.select(*kept, F.posexplode("_table").alias("line_no", "_line")).filter("line_no > 0")
+    whole = F.size("_line") == F.col("_form.width")
     if on_problem == "fail":
-        bad = F.assert_true(F.col("problem").isNull(), F.concat(F.lit("payload: "), F.col("problem")))
-        read = read.filter(bad.isNull())
-    else:
-        read = read.filter(F.col("problem").isNull())
-    head = F.transform(F.get("_table", F.lit(0)), lambda field: F.lower(F.btrim(field)))
-    places = [(F.array_position("_head", F.lit(column)).cast("int") - 1).alias(f"_{column}") for column in names]
-    read = read.select(*carry, head.alias("_head"), F.slice("_table", 2, F.size("_table")).alias("_body")).select(
-        *carry, "_body", *places)
-
-    def field(row: Column, column: str) -> Column:
-        text = F.get(row, F.col(f"_{column}"))
-        return (text if column == name else number(text)).alias(column)
-
-    rows = F.transform("_body", lambda row: F.struct(*[field(row, column) for column in names]))
-    found = read.select(*carry, rows.alias("_rows"))
-    if top is None:
-        return found.select(*carry, F.posexplode("_rows").alias("_at", "_row")).select(
-            *carry, (F.col("_at") + 1).alias("line_no"), "_row.*")
-    # the places of the level-0 lines, then for each line the last of them: no shuffle
-    above = F.filter(
-        F.transform("_rows", lambda row, i: F.when(row["level"] == 0, F.struct(i.alias("i"), row[name].alias("v")))),
-        lambda x: x["v"].isNotNull())
-    placed = found.withColumn("_above", above).withColumn(top, F.try_element_at("_above", F.lit(-1))["v"])
-    if run_on:
-        placed = previous_value(placed, top, list(run_on), list(run_on[:-1]), "_earlier")
-    else:
-        placed = placed.withColumn("_earlier", F.lit(None).cast("string"))
-    unfolded = placed.select(*carry, "_above", "_earlier", F.posexplode("_rows").alias("_at", "_row"))
-    last = F.try_element_at(F.filter("_above", lambda x: x["i"] <= F.col("_at")), F.lit(-1))
-    return unfolded.select(
-        *carry, (F.col("_at") + 1).alias("line_no"), "_row.*", F.coalesce(last["v"], "_earlier").alias(top))
+        whole = F.assert_true(whole, F.lit("payload: a line with another number of fields")).isNull()
+    columns = [(text(F.col("_line"), c) if c == name else number(text(F.col("_line"), c))).alias(c) for c in names]
+    if others:
+        columns.append(F.map_filter(
+            F.map_from_arrays("_head", "_line"), lambda key, _: ~key.isin(*names)).alias(others))
+    if top is not None:
+        last = F.try_element_at(F.filter("_above", lambda x: x["i"] <= F.col("line_no")), F.lit(-1))
+        columns.append(F.coalesce(last["v"], "_earlier").alias(top))
+    return lines.filter(whole).select(*carry, "line_no", *columns)
 
 
 def label_estimates(estimates: DataFrame, periods: Mapping[str, str] = PERIOD_LABELS) -> DataFrame:

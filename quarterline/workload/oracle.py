@@ -108,6 +108,12 @@ ESTIMATES = GRID + """, lines AS (
   FROM estimates
 )"""
 
+_FAULTS = """faults AS (
+  SELECT CAST(batch_no AS VARCHAR) || '-' || CAST(country_no AS VARCHAR) AS request_id, iso, indicator, country_no % 10 AS digit,
+    CASE country_no % 10 WHEN 3 THEN 'no payload' WHEN 5 THEN 'missing columns: area, level, mean, lower, upper'
+      ELSE 'a line with another number of fields' END AS problem
+  FROM grid WHERE country_no % 10 IN (3, 5, 8))"""
+
 # -- pieces ---------------------------------------------------------------------
 
 
@@ -438,6 +444,17 @@ ORACLE: dict[str, str] = {
         f"WITH {GRID} SELECT country, iso, batch_no, indicator, age, sex, {_URL} AS url FROM grid"
     ),
     "parse_csv_payloads": f"WITH {ESTIMATES} SELECT {_REQUEST}, {_LINE} FROM estimates",
+    "failed_requests": f"WITH {GRID}, {_FAULTS} SELECT request_id, iso, indicator, problem FROM faults",
+    "rejected_lines": f"""WITH {ESTIMATES}, {_FAULTS}
+      SELECT f.request_id, f.iso, f.indicator,
+        CAST((SELECT COUNT(*) FROM estimates e WHERE e.request_id = f.request_id) + 1 AS INT) AS line_no,
+        'short,2,1' AS fields, '3 fields instead of 5' AS reason
+      FROM faults f WHERE digit = 8""",
+    "accepted_and_rejected_lines": f"""WITH {ESTIMATES}, {_FAULTS}
+      SELECT indicator, 'accepted_line' AS kind, COUNT(*) AS n FROM estimates
+      WHERE country_no % 10 NOT IN (3, 5) GROUP BY indicator
+      UNION ALL SELECT indicator, 'rejected_line', COUNT(*) FROM faults WHERE digit = 8 GROUP BY indicator
+      UNION ALL SELECT indicator, 'failed_request', COUNT(*) FROM faults GROUP BY indicator""",
     "profile_table": f"WITH {MSD} " + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{kind}' AS column_type, COUNT(*) AS rows, "
         f"COUNT({c}) AS non_null, COUNT(DISTINCT {c}) AS n_distinct FROM msd"

@@ -122,6 +122,30 @@ def parse_csv_payloads(spark, sf_dir):
     return area.parse_payloads(t.responses(spark, sf_dir), CARRY)
 
 
+@named("failed_requests")
+def failed_payload_requests(spark, sf_dir):
+    return area.failed_requests(t.faulty_responses(spark, sf_dir), ("request_id", "iso", "indicator"))
+
+
+@named("rejected_lines")
+def rejected_payload_lines(spark, sf_dir):
+    rejected = area.rejected_lines(t.faulty_responses(spark, sf_dir), ("request_id", "iso", "indicator"))
+    return rejected.withColumn("fields", F.array_join("fields", ","))
+
+
+@query
+def accepted_and_rejected_lines(spark, sf_dir):
+    """What became of the requests and lines of each indicator."""
+    faulty, by = t.faulty_responses(spark, sf_dir), ("indicator",)
+    parts = {
+        "accepted_line": area.parse_payloads(faulty, by),
+        "rejected_line": area.rejected_lines(faulty, by),
+        "failed_request": area.failed_requests(faulty, by),
+    }
+    counts = [df.groupBy(*by).agg(F.lit(kind).alias("kind"), F.count("*").alias("n")) for kind, df in parts.items()]
+    return bind_rows(*counts)
+
+
 @query
 def profile_table(spark, sf_dir):
     return profile(t.msd(spark, sf_dir), "exact")

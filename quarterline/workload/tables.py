@@ -219,3 +219,15 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "batch_no", "country_no", "iso", "indicator", "age", "sex", "period",
         F.array_join(body, "\n").alias("payload"),
     )
+
+
+def faulty_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with faults, by the last digit of the country: 3 no payload, 5 an error message, 8 a short line at the end."""
+    digit = F.col("country_no") % 10
+    payload = (
+        F.when(digit == 3, F.lit(None).cast("string"))
+        .when(digit == 5, F.lit('{"error": "indicator not recognised"}'))
+        .when(digit == 8, F.concat("payload", F.lit("\nshort,2,1")))
+        .otherwise(F.col("payload"))
+    )
+    return responses(spark, sf_dir).withColumn("payload", payload)

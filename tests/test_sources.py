@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from quarterline.schemas import INDICATOR_RESULTS, TARGETS
 from quarterline.sources.harvest import (
-    failed_requests, harvest, label_estimates, parse_payloads, request_grid, request_url, with_operating_unit,
+    failed_requests, harvest, label_estimates, parse_payloads, rejected_lines, request_grid, request_url,
+    with_operating_unit,
 )
 from quarterline.sources.snapshots import (
     latest_snapshot, list_snapshots, profile, read_indicators, read_targets, write_by, write_csv,
@@ -135,6 +136,43 @@ def test_failed_requests_are_reported_and_not_fatal(spark):
         parse_payloads(df, ["request_id"], on_problem="fail").collect()
 
 
+def test_a_bad_line_costs_only_itself(spark, rows):
+    df = _responses(spark, HEADER + "\na,0,1,2,3\nb,2,1\nc,2,1,2,3,4\nd,2,7,8,9\nLate,0,1", HEADER + "\ne,2,1,1,1")
+    assert rows(parse_payloads(df, ["request_id"]), "request_id", "line_no", "area") == [
+        ("1", 1, "a"), ("1", 4, "d"), ("2", 1, "e")]
+    assert [tuple(r) for r in rejected_lines(df, ["request_id"]).orderBy("line_no").collect()] == [
+        ("1", 2, ["b", "2", "1"], "3 fields instead of 5"), ("1", 3, ["c", "2", "1", "2", "3", "4"], "6 fields instead of 5"),
+        ("1", 5, ["Late", "0", "1"], "3 fields instead of 5")]
+    assert [r["problem"] for r in failed_requests(df, ["request_id"]).collect()] == ["a line with another number of fields"]
+    # a rejected line names no unit
+    named = harvest(df.withColumns({c: F.lit("x") for c in ("iso", "indicator", "sex")}))
+    assert {r["operatingunit"] for r in named.filter("request_id = '1'").collect()} == {"a"}
+    with pytest.raises(Exception, match="another number of fields"):
+        parse_payloads(df, ["request_id"], on_problem="fail").collect()
+
+
+@pytest.mark.parametrize("sign", ["\x1d", "\x1e", "\x1f", "\x1d0\x1e1\x1f2"])
+def test_control_characters_belong_to_their_field(spark, sign):
+    payload = f'{HEADER}\r\np{sign}q,0,1,2,3\r\n"r{sign},\ns""{sign}",2,1,2,3\r\n'
+    got = parse_payloads(_responses(spark, payload), ["request_id"]).orderBy("line_no").collect()
+    assert [r["area"] for r in got] == [f"p{sign}q", f'r{sign},\ns"{sign}']
+
+
+def test_further_columns_are_kept_in_a_map(spark):
+    payload = "area,Source,level,mean,lower,upper,note\na,s1,0,1,2,3,\nb,s2,2,1,2,3,late"
+    got = parse_payloads(_responses(spark, payload), ["request_id"], others="others").orderBy("line_no").collect()
+    assert [r["others"] for r in got] == [{"source": "s1", "note": ""}, {"source": "s2", "note": "late"}]
+
+
+def test_a_payload_is_cut_once(spark):
+    parsed = parse_payloads(_responses(spark, HEADER).withColumn("payload", F.concat("payload", F.lit("\na,0,1,2,3"))), ["request_id"])
+    plan = parsed.filter("level = 0 AND upper > mean")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(array(transform(filter(CASE WHEN NOT Contains(_text") == 1
+    assert plan.count("Contains(_text") == 1
+    # what makes the payload is not written again for each reader either
+    assert plan.count("concat(payload") == 1
+
+
 def test_columns_by_name_and_quoted_breaks(spark):
     payload = 'unit,Upper,area,"level",mean,lower\r\nx,9,"Two\nlines, ""one"" more",0,1,2\r\ny,8,plain,2,bad,3\r\n'
     got = parse_payloads(_responses(spark, payload), ["request_id"]).orderBy("line_no").collect()
