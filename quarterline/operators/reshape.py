@@ -11,6 +11,7 @@ from quarterline.functions.labels import period_key, period_label, year_label
 from quarterline.functions.predicates import matching_columns
 from quarterline.operators.aggregate import total
 from quarterline.schemas import QUARTERS
+from quarterline.session import stage
 
 MEASURES = r"^(qtr[1-4]|targets|cumulative)$"
 
@@ -80,9 +81,10 @@ def pivot_sum(
     """Sum to one column per value of ``names_from``; a combination with no row at all stays NULL.
 
     Listed names come first and in their order, with a column even where no row has them.
-    Values that are not listed follow, sorted, and NULL as ``NA``: nothing is left out. The
-    values are read by one job over one column; more than ``MOST_NAMES`` raise.
+    Values that are not listed follow, sorted, and NULL as ``NA``: nothing is left out. The table is
+    summed and staged before its names are read, so it is derived once; more than ``MOST_NAMES`` names raise.
     """
+    df = stage(df.groupBy(*ids, names_from).agg(F.sum(values_from).alias(values_from)))
     found = [row[0] for row in df.select(names_from).distinct().limit(MOST_NAMES + 1).collect()]
     if len(found) > MOST_NAMES:
         raise ValueError(f"{names_from} has more than {MOST_NAMES} values")

@@ -65,18 +65,23 @@ def _at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
-def land(df: DataFrame) -> str:
-    """Write a table once to the shared folder as Parquet; its path.
+def landing_place(spark: SparkSession) -> str:
+    """A fresh path in the shared folder.
 
-    The folder goes when the session's JVM ends; ``release`` removes it earlier.
+    What is written there goes when the session's JVM ends; ``release`` removes it earlier.
     """
-    spark = df.sparkSession
     path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _at_exit(spark, path)
     return path
 
 
+def land(df: DataFrame) -> str:
+    """Write a table once to the shared folder as Parquet; its path (see ``landing_place``)."""
+    path = landing_place(df.sparkSession)
+    df.write.parquet(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate table once to the shared folder and read it back.
 
@@ -99,10 +104,9 @@ def stage_bucketed(df: DataFrame, buckets: int, column: str, sort: Sequence[str]
     """
     spark = df.sparkSession
     name = _BUCKETED + uuid.uuid4().hex
-    path = f"{_session_folder(spark)}/{name}"
+    path = landing_place(spark)
     writer = df.write.format("parquet").option("path", path).bucketBy(buckets, column)
     (writer.sortBy(*sort) if sort else writer).saveAsTable(name)
-    _at_exit(spark, path)
     return spark.table(name)
 
 

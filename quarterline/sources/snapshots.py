@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterline.schemas import INDICATOR_RESULTS, TARGETS
+from quarterline.schemas import INDICATOR_RESULTS, QUARTERS, TARGETS
 
 
 def list_snapshots(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -73,6 +73,34 @@ def targets_of_type(targets: DataFrame, type: str) -> DataFrame:
     return targets.filter(F.col("type") == type)
 
 
+def year_folders(spark: SparkSession, path: str) -> list[int]:
+    """Fiscal years that a snapshot landed by ``write_by(df, path, "fiscal_year")`` has folders for, newest first.
+
+    One listing of one folder; empty for a snapshot without year folders.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    entries = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    names = [re.fullmatch(r"fiscal_year=(\d+)", entry.getPath().getName()) for entry in entries]
+    return sorted((int(name[1]) for name in names if name), reverse=True)
+
+
+def newest_results(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest year in which a snapshot has a quarterly value; no row if it has none at all.
+
+    Years come from folder names where there are any, newest first, and only folders from that year on are read: targets
+    are often set a year or two ahead of results. In a snapshot of plain files one pass over five
+    columns finds the year, and row groups of other years are skipped by their statistics.
+    """
+    df = read_indicators(spark, path)
+    year, any_result = F.col("fiscal_year"), F.coalesce(*QUARTERS).isNotNull()
+    years = year_folders(spark, path)
+    for known in years:
+        if not df.filter((year == known) & any_result).isEmpty():
+            return df.filter(year == known)
+    found = None if years else df.filter(any_result).agg(F.max(year)).first()[0]
+    return df.filter(year == F.lit(found).cast("int"))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV files with a header; NULL as ``NA``. One file per partition of ``df``."""
     df.write.mode(mode).option("header", True).option("nullValue", "NA").csv(path)

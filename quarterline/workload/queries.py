@@ -26,9 +26,9 @@ from quarterline.plans import achievement as reports
 from quarterline.plans import modality, targets
 from quarterline.sources import harvest as area
 from quarterline.sources.snapshots import (
-    latest_snapshot, profile, read_indicators, read_targets, targets_of_type,
+    latest_snapshot, newest_results, profile, read_indicators, read_targets, targets_of_type, write_by,
 )
-from quarterline.session import land, stage
+from quarterline.session import land, landing_place, stage
 from quarterline.workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,7 +94,10 @@ def read_landed_targets(spark, sf_dir):
 
 @named("snapshot_metadata")
 def snapshot_metadata_query(spark, sf_dir):
-    return snapshot_metadata(t.msd(spark, sf_dir), "results")
+    """From a snapshot landed by year: its folders name the years, and the newest one with results is read."""
+    path = f"{landing_place(spark)}/snapshot"
+    write_by(t.msd(spark, sf_dir), path, "fiscal_year")
+    return snapshot_metadata(newest_results(spark, path), t.SOURCE)
 
 
 @query
@@ -172,7 +175,7 @@ def filter_conjunctive(spark, sf_dir):
     return _msd_keys(df).filter(
         (F.col("indicator") == t.INDICATOR)
         & (F.col("standardizeddisaggregate") == t.DISAGGREGATE)
-        & (F.col("fiscal_year") <= t.current(df).curr_fy)
+        & (F.col("fiscal_year") <= t.current(spark, sf_dir).curr_fy)
     )
 
 
@@ -327,7 +330,7 @@ def achievement_grouping_sets(spark, sf_dir):
 def achievement_by_mech(spark, sf_dir):
     df = t.msd(spark, sf_dir)
     return reports.achievement_by_mech(
-        df, ["PROMO", "LARGE", "SMALL"], t.current(df),
+        df, ["PROMO", "LARGE", "SMALL"], t.current(spark, sf_dir),
         agencies_out=["EUROPE"], names_out=["Supplier#000000003"], codes_out=["7"],
     )
 
@@ -345,7 +348,7 @@ def achievement_bands(spark, sf_dir):
 def achievement_table(spark, sf_dir):
     df = t.msd(spark, sf_dir)
     return reports.achievement_table(
-        df, ["PROMO", "LARGE", "SMALL"], t.current(df),
+        df, ["PROMO", "LARGE", "SMALL"], t.current(spark, sf_dir),
         agencies_out=["EUROPE"], names_out=["Supplier#000000003"], codes_out=["7"],
     )
 
@@ -353,19 +356,19 @@ def achievement_table(spark, sf_dir):
 @query
 def period_brief(spark, sf_dir):
     df = t.msd(spark, sf_dir)
-    return reports.period_brief(df, t.current(df))
+    return reports.period_brief(df, t.current(spark, sf_dir))
 
 
 @query
 def period_brief_one_indicator(spark, sf_dir):
     df = t.msd(spark, sf_dir)
-    return reports.period_brief(df, t.current(df), [t.INDICATOR])
+    return reports.period_brief(df, t.current(spark, sf_dir), [t.INDICATOR])
 
 
 @query
 def mech_summary(spark, sf_dir):
     df = t.msd(spark, sf_dir)
-    return reports.mech_summary(df, t.current(df))
+    return reports.mech_summary(df, t.current(spark, sf_dir))
 
 
 @query
@@ -395,7 +398,7 @@ def custom_order_totals(spark, sf_dir):
 def _mech_periods(spark, sf_dir):
     df = t.msd(spark, sf_dir)
     rows = modality.modality_rows(
-        df, t.current(df).curr_fy,
+        df, t.current(spark, sf_dir).curr_fy,
         classify.modality_type(F.col("modality"), t.MODALITY_RULES),
         t.INDICATOR, t.DISAGGREGATE,
     )
@@ -458,7 +461,7 @@ def every_nth_order(spark, sf_dir):
 def modality_by_mech(spark, sf_dir):
     df = t.msd(spark, sf_dir)
     return modality.modality_by_mech(
-        df, t.current(df).curr_fy, "FY20Q1", t.MODALITY_RULES, t.INDICATOR, t.DISAGGREGATE
+        df, t.current(spark, sf_dir).curr_fy, "FY20Q1", t.MODALITY_RULES, t.INDICATOR, t.DISAGGREGATE
     )
 
 
@@ -466,7 +469,7 @@ def modality_by_mech(spark, sf_dir):
 def modality_index(spark, sf_dir):
     df = t.msd(spark, sf_dir)
     return modality.modality_index(
-        df, "funding_agency", curr_fy=t.current(df).curr_fy,
+        df, "funding_agency", curr_fy=t.current(spark, sf_dir).curr_fy,
         rules=t.INDEX_RULES, indicator=t.INDICATOR, disaggregate=t.DISAGGREGATE,
     )
 
@@ -475,7 +478,7 @@ def modality_index(spark, sf_dir):
 def modality_index_two_keys(spark, sf_dir):
     df = t.msd(spark, sf_dir)
     return modality.modality_index(
-        df, "funding_agency", "mech_name", curr_fy=t.current(df).curr_fy,
+        df, "funding_agency", "mech_name", curr_fy=t.current(spark, sf_dir).curr_fy,
         rules=t.INDEX_RULES, indicator=t.INDICATOR, disaggregate=t.DISAGGREGATE,
     )
 
@@ -543,13 +546,13 @@ def label_percent_comma(spark, sf_dir):
 @query
 def chart_achievement_all(spark, sf_dir):
     df = t.msd(spark, sf_dir)
-    return reports.chart_current(df, [t.INDICATOR], YEARS, t.current(df))
+    return reports.chart_current(df, [t.INDICATOR], YEARS, t.current(spark, sf_dir))
 
 
 @query
 def chart_achievement_agency(spark, sf_dir):
     df = t.msd(spark, sf_dir)
-    return reports.chart_current(df, [t.INDICATOR], YEARS, t.current(df), AGENCY)
+    return reports.chart_current(df, [t.INDICATOR], YEARS, t.current(spark, sf_dir), AGENCY)
 
 
 @query

@@ -119,6 +119,27 @@ def test_a_scan_shuffles_rows_once_and_holds_no_border(spark, verb):
     assert abs(len(many) - len(few)) < 300
 
 
+@pytest.mark.parametrize("name", ["complete_grid", "share_of_period", "table_prioritization", "table_agency", "modality_by_mech"])
+def test_the_fact_is_derived_once(spark, name, monkeypatch):
+    """Eager jobs included: every order is read once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(part.num_rows)
+            yield part
+
+    given = t.table
+
+    def table(spark, sf_dir, name):
+        df = given(spark, sf_dir, name)
+        return df.mapInArrow(counted, df.schema) if name == "orders" else df
+
+    monkeypatch.setattr(t, "table", table)
+    QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
+    assert read.value == given(spark, SF_DIR, "orders").count()
+
+
 def test_release_drops_staged_tables(spark):
     df = fill_down(spark.range(10).selectExpr("id AS o", "id AS v"), "v", ["o"])
     assert df.count() == 10 and spark.catalog.listTables(pattern="quarterline_staged_*")

@@ -1,15 +1,17 @@
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarterline.operators.aggregate import read_metadata, snapshot_metadata
 from quarterline.schemas import INDICATOR_RESULTS, TARGETS
 from quarterline.sources.harvest import (
     failed_requests, harvest, label_estimates, parse_payloads, rejected_lines, request_grid, request_url,
     with_operating_unit,
 )
 from quarterline.sources.snapshots import (
-    latest_snapshot, list_snapshots, profile, read_indicators, read_targets, write_by, write_csv,
+    latest_snapshot, list_snapshots, newest_results, profile, read_indicators, read_targets, write_by, write_csv, year_folders,
 )
 
 ROW = (2023, "I", "Total Numerator", "Index", "A", "1", "one", 1.0, None, 0.0, 2.0, None, 3.0)
@@ -58,6 +60,35 @@ def test_read_indicators(spark, tmp_path, rows, form):
     assert got.schema == INDICATOR_RESULTS and rows(got) == [ROW]
 
 
+def _years(spark, *rows):
+    return spark.createDataFrame([(year, *ROW[1:7], *quarters, 5.0, None) for year, *quarters in rows], INDICATOR_RESULTS)
+
+
+def test_metadata_reads_the_newest_year_with_results_only(spark, tmp_path):
+    df = _years(spark, (2022, 1.0, 1.0, 1.0, 1.0), (2023, 1.0, 0.0, None, None), (2023, 1.0, None, None, None), (2024, None, None, None, None))
+    path = str(tmp_path / "s")
+    write_by(df, path, "fiscal_year")
+    assert year_folders(spark, path) == [2024, 2023, 2022]
+    newest = newest_results(spark, path)
+    assert re.search(r"PartitionFilters: \[[^]]*fiscal_year#\d+ = 2023", newest._jdf.queryExecution().executedPlan().toString())
+    row = snapshot_metadata(newest, "s").first()
+    assert (row["curr_fy"], row["curr_qtr"], row["curr_pd"]) == (2023, 2, "FY23Q2")
+    # folders of other years are not opened: they need not even be readable
+    for part in (tmp_path / "s" / "fiscal_year=2022").glob("*.parquet"):
+        part.write_bytes(b"not a table")
+    assert read_metadata(newest_results(spark, path), "s").curr_key == 2023 * 4 + 2
+
+
+def test_metadata_of_plain_files(spark, tmp_path):
+    path = str(tmp_path / "s")
+    _years(spark, (2022, 1.0, 1.0, 1.0, 1.0), (2023, 1.0, None, None, None), (2024, None, None, None, None)).write.parquet(path)
+    assert year_folders(spark, path) == []
+    assert read_metadata(newest_results(spark, path), "s").curr_pd == "FY23Q1"
+    empty = str(tmp_path / "e")
+    _years(spark, (2024, None, None, None, None)).write.parquet(empty)
+    assert newest_results(spark, empty).count() == 0
+
+
 def test_read_targets_by_type(spark, tmp_path):
     data = [(2023, k, "I", "N", None, "<01", "p", "A", 1.0) for k in ("SUBNAT", "ALL", "ALL")]
     spark.createDataFrame(data, TARGETS).write.parquet(str(tmp_path / "t"))
