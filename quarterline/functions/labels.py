@@ -27,6 +27,9 @@ def period_label(fiscal_year: Column, quarter: Column) -> Column:
 
 # -- numbers ----------------------------------------------------------------
 
+# Units of shortened numbers and their letters, largest first; cleaned numbers know all but the first.
+UNITS = ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K"))
+
 
 def whole(column: Column) -> Column:
     """Half-even rounded whole number as text."""
@@ -50,22 +53,19 @@ def clean_number(column: Column, digits: int = 0, na_text: str | None = None) ->
         text = whole(value) if digits == 0 else _plain(F.bround(value, digits))
         return F.concat(text, F.lit(suffix))
 
-    text = (
-        F.when(column >= 1e9, scaled(1e9, "B"))
-        .when(column >= 1e6, scaled(1e6, "M"))
-        .when(column >= 1e3, scaled(1e3, "K"))
-        .otherwise(_plain(column))
-    )
+    text = _plain(column)
+    for unit, letter in reversed(UNITS[1:]):
+        text = F.when(column >= unit, scaled(unit, letter)).otherwise(text)
     return text if na_text is None else F.coalesce(text, F.lit(na_text))
 
 
 def short_number(column: Column) -> Column:
     """Whole number with a K/M/B/T suffix; the scale is picked before rounding."""
     size = F.abs(column)
-    chain = F.when(size >= 1e12, F.concat(whole(column / 1e12), F.lit("T")))
-    for unit, suffix in ((1e9, "B"), (1e6, "M"), (1e3, "K")):
-        chain = chain.when(size >= unit, F.concat(whole(column / unit), F.lit(suffix)))
-    return chain.otherwise(whole(column))
+    text = whole(column)
+    for unit, letter in reversed(UNITS):
+        text = F.when(size >= unit, F.concat(whole(column / unit), F.lit(letter))).otherwise(text)
+    return text
 
 
 def format_achievement(results: Column, targets: Column) -> Column:
@@ -114,6 +114,10 @@ def indicator_cell(title: Column, description: Column, color: Column) -> Column:
 
 # -- harvested codes --------------------------------------------------------
 
+# Parts of age codes that go or change, each once, and the open-ended code.
+AGE_PARTS = (("Y0", ""), ("_0", "-"))
+OPEN_AGE, OPEN_AGE_LABEL = "15_999", "15+"
+
 
 def _replace_first(column: Column, text: str, replacement: str) -> Column:
     return F.regexp_replace(column, f"^(.*?){text}", f"$1{replacement}")
@@ -121,8 +125,10 @@ def _replace_first(column: Column, text: str, replacement: str) -> Column:
 
 def age_label(column: Column) -> Column:
     """``Y015_019`` -> ``15-19``, ``Y015_999`` -> ``15+``."""
-    text = _replace_first(_replace_first(column, "Y0", ""), "_0", "-")
-    return F.when(text == "15_999", F.lit("15+")).otherwise(text)
+    text = column
+    for part, replacement in AGE_PARTS:
+        text = _replace_first(text, part, replacement)
+    return F.when(text == OPEN_AGE, F.lit(OPEN_AGE_LABEL)).otherwise(text)
 
 
 def recode(column: Column, table: Mapping[str, str]) -> Column:

@@ -62,6 +62,30 @@ def read_indicators(spark: SparkSession, path: str, form: str = "parquet") -> Da
     return _read(spark, path, INDICATOR_RESULTS, form)
 
 
+#: where the text of a line is kept that does not fit the schema
+_BAD = "_rejected_line"
+
+
+def read_checked(
+    spark: SparkSession, path: str, schema: T.StructType = INDICATOR_RESULTS, form: str = "tsv"
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of a delimited snapshot that fit the schema, and the lines that do not: ``(accepted, rejected)``.
+
+    A line with too few or too many fields, or with a text where a number belongs, is rejected as a whole, with its
+    ``file`` and ``line``. Both come from one kind of scan and no line is in neither. All columns
+    are parsed for both, whatever is selected later: what is rejected does not depend on the columns a report reads.
+    """
+    kept = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    rows = spark.read.schema(kept).csv(
+        path, sep="\t" if form == "tsv" else ",", header=True, nullValue="NA", mode="PERMISSIVE",
+        columnNameOfCorruptRecord=_BAD, enforceSchema=False)
+    # only columns that are read are parsed: whether a line is bad has to read them all
+    other = F.when(F.coalesce(*[F.col(name).cast("string") for name in schema.fieldNames()]).isNull(), F.lit(-1)).otherwise(F.lit(-2))
+    bad = F.coalesce(F.length(_BAD), other) >= 0
+    rejected = rows.filter(bad).select(F.col("_metadata.file_name").alias("file"), F.col(_BAD).alias("line"))
+    return rows.filter(~bad).drop(_BAD), rejected
+
+
 def read_targets(
     spark: SparkSession, path: str, type: str = "ALL", form: str = "parquet"
 ) -> DataFrame:

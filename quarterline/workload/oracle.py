@@ -417,6 +417,10 @@ def _long_rows() -> str:
 
 _MECH = f"WITH {MSD}, {_periods(_MOD_TYPE, 'mech_name')}"
 
+_MEDIANS = f"""WITH {MSD}, {_sums('fiscal_year', 'indicator', 'mech_code', measures=_QTR_SUMS)}, medians AS (
+  SELECT mech_code, COUNT(*) AS n, quantile_disc(value, 0.5) AS median
+  FROM (SELECT mech_code, unnest([qtr1, qtr2, qtr3, qtr4]) AS value FROM sums) GROUP BY mech_code) """
+
 ORACLE: dict[str, str] = {
     "scan_latest_snapshot": (
         "SELECT l_returnflag, 'lineitem.parquet' AS snapshot, COUNT(*) AS n_rows, "
@@ -636,4 +640,30 @@ ORACLE: dict[str, str] = {
           ORDER BY batch_no, country_no, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
           AS operatingunit
       FROM estimates""",
+    "read_rejects": f"""WITH {MSD} SELECT fiscal_year, COUNT(*) AS n,
+        CASE WHEN fiscal_year = 2020 AND funding_agency = 'EUROPE' THEN 'rejected' ELSE 'accepted' END AS kind
+      FROM msd GROUP BY ALL""",
+    "written_csv": f"WITH {MSD} SELECT * FROM msd",
+    "written_by_mech": _brief(
+        ("mech_code", "mech_name", "indicator"),
+        extra=", mech_name || ' PERFORMANCE SUMMARY' AS title",
+    ),
+    "sketch_medians": _MEDIANS + "SELECT * FROM medians",
+    "sketch_top_mechs": _MEDIANS + """
+      SELECT *, CAST(row_number() OVER (ORDER BY median DESC, mech_code) AS INT) AS mod_order
+      FROM medians QUALIFY mod_order <= 25""",
+    "incremental_sums": f"WITH {MSD} SELECT fiscal_year, indicator, mech_code, {_SUMS}, {_total('cumulative')} FROM msd GROUP BY ALL",
+    "complete_wide_grid": f"""WITH {MSD}, sums AS (
+        SELECT fiscal_year, modality, mech_code, {_total('targets')}, {_total('cumulative')}
+        FROM msd WHERE indicator = '{t.INDICATOR}' AND cumulative IS NOT NULL GROUP BY ALL)
+      SELECT k.fiscal_year, k.modality, m.mech_code, COALESCE(targets, 0) AS targets, cumulative
+      FROM (SELECT DISTINCT fiscal_year, modality FROM sums) k CROSS JOIN (SELECT DISTINCT mech_code FROM sums) m
+        LEFT JOIN sums USING (fiscal_year, modality, mech_code)""",
+    "sql_functions": f"""WITH {MSD}, {_MECH_SUMS}
+      SELECT fiscal_year, indicator, mech_code, {_clean_number('cumulative * 500')} AS thousands,
+        {_achievement_label('(cumulative * 500)', '(targets * -50000)')} AS scaled,
+        indicator || ' of mechanism' AS first_words,
+        mech_code || '-' || CAST(fiscal_year AS VARCHAR) AS age
+      FROM sums""",
 }
+ORACLE["fix_mech_names_in_buckets"] = ORACLE["fix_mech_names"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterline.functions import classify, labels
+from quarterline.functions.sql import register_sql_functions
 from quarterline.functions.predicates import not_in
 from quarterline.operators import achievement as ach
 from quarterline.operators.aggregate import (
@@ -16,9 +17,12 @@ from quarterline.operators.aggregate import (
 from quarterline.operators.combine import (
     bind_rows, compare_columns, fix_mech_names, map_mech_names,
 )
-from quarterline.operators.grid import complete_grid
+from quarterline.operators.buckets import in_buckets, short_names
+from quarterline.operators.grid import complete_grid, complete_wide
 from quarterline.operators.ordered import every_nth, fill_up
 from quarterline.operators.reshape import custom_order, reshape_long, reshape_quarters
+from quarterline.operators.sketches import merge_sketches, sketched_medians, sketched_order, value_sketches
+from quarterline.operators.summaries import kept_sums, update_sums
 from quarterline.operators.shares import (
     period_totals, share_of_group, share_of_period, start_end,
 )
@@ -26,7 +30,8 @@ from quarterline.plans import achievement as reports
 from quarterline.plans import modality, targets
 from quarterline.sources import harvest as area
 from quarterline.sources.snapshots import (
-    latest_snapshot, newest_results, profile, read_indicators, read_targets, targets_of_type, write_by,
+    latest_snapshot, newest_results, profile, read_checked, read_indicators, read_targets, targets_of_type, write_by,
+    write_csv,
 )
 from quarterline.session import land, landing_place, stage
 from quarterline.workload import tables as t
@@ -590,3 +595,95 @@ def fill_operating_unit_levels(spark, sf_dir):
 def fill_operating_unit_run_on(spark, sf_dir):
     carry = ("batch_no", "country_no", "iso", "indicator", "sex", "age")
     return area.run_on_units(t.responses(spark, sf_dir), carry, order=("batch_no", "country_no"))
+
+
+# -- kept and written tables --------------------------------------------------
+
+
+@query
+def read_rejects(spark, sf_dir):
+    """A delimited snapshot in which some targets are no numbers: lines accepted and rejected by year."""
+    df, path = t.msd(spark, sf_dir), landing_place(spark)
+    bad = (F.col("fiscal_year") == 2020) & (F.col("funding_agency") == "EUROPE")
+    faulty = df.withColumn("targets", F.when(bad, F.lit("unknown")).otherwise(F.col("targets").cast("string")))
+    faulty.write.csv(path, sep="\t", header=True, nullValue="NA")
+    accepted, rejected = read_checked(spark, path)
+    year = F.split("line", "\t")[0].cast("int").alias("fiscal_year")
+    return bind_rows(
+        accepted.groupBy("fiscal_year").agg(F.lit("accepted").alias("kind"), F.count("*").alias("n")),
+        rejected.groupBy(year).agg(F.lit("rejected").alias("kind"), F.count("*").alias("n")))
+
+
+@query
+def written_csv(spark, sf_dir):
+    """The results table through a CSV file with a marker for NULL."""
+    path = landing_place(spark)
+    write_csv(t.msd(spark, sf_dir), path)
+    return read_indicators(spark, path, "csv")
+
+
+@query
+def written_by_mech(spark, sf_dir):
+    """The summaries of all mechanisms, written to a folder each and found again by their folders."""
+    df, path = t.msd(spark, sf_dir), landing_place(spark)
+    meta = t.current(spark, sf_dir)
+    reports.write_mech_summaries(df, meta, path)
+    summary = reports.mech_summary(df, meta)
+    return spark.read.schema(summary.schema).parquet(path).select(*summary.columns)
+
+
+def _mech_sketches(spark, sf_dir):
+    """A stored sketch of the quarterly values of every mechanism and year, merged to one per mechanism."""
+    values = reshape_long(sum_across(t.msd(spark, sf_dir), ["fiscal_year", "indicator", "mech_code"], "^qtr"))
+    year = F.floor((F.col("period_key") - 1) / 4).alias("year")
+    yearly = stage(value_sketches(values.select("mech_code", year, "value"), ["year", "mech_code"], "value"))
+    return merge_sketches(yearly, ["mech_code"])
+
+
+@query
+def sketch_medians(spark, sf_dir):
+    return sketched_medians(_mech_sketches(spark, sf_dir), "mech_code")
+
+
+@query
+def sketch_top_mechs(spark, sf_dir):
+    return sketched_order(_mech_sketches(spark, sf_dir), "mech_code", top=25)
+
+
+@query
+def incremental_sums(spark, sf_dir):
+    """Sums kept by year, brought up to date with a snapshot that restates one year."""
+    df, store = stage(t.msd(spark, sf_dir)), landing_place(spark)
+    keys, pattern = ["indicator", "mech_code"], "targets|cumul|qtr"
+    early = df.withColumn("cumulative", F.when(F.col("fiscal_year") != 2023, F.col("cumulative")))
+    update_sums(early, store, keys, pattern)
+    update_sums(df, store, keys, pattern)
+    return kept_sums(spark, store)
+
+
+@query
+def fix_mech_names_in_buckets(spark, sf_dir):
+    by = ["mech_code", "mech_name"]
+    sums = in_buckets(sum_across(t.msd(spark, sf_dir), [*by, "fiscal_year", "indicator"], "cumul"), by)
+    return short_names(sums, in_buckets(t.mech_names_cw(spark, sf_dir), by))
+
+
+@query
+def complete_wide_grid(spark, sf_dir):
+    """Every year, modality and mechanism, though few mechanisms report each."""
+    rows = t.msd(spark, sf_dir).filter((F.col("indicator") == t.INDICATOR) & F.col("cumulative").isNotNull())
+    sums = stage(sum_across(rows, ["fiscal_year", "modality", "mech_code"], "cumul|targets"))
+    return complete_wide(sums, ["fiscal_year", "modality"], "mech_code", {"targets": 0.0})
+
+
+@query
+def sql_functions(spark, sf_dir):
+    """The scalar helpers in a query that is SQL text alone."""
+    register_sql_functions(spark)
+    sums = sum_across(t.msd(spark, sf_dir), ["fiscal_year", "indicator", "mech_code"], "cumul|targets")
+    return spark.sql("""
+        SELECT fiscal_year, indicator, mech_code, clean_number(cumulative * 500) AS thousands,
+          format_achievement(cumulative * 500, targets * -50000) AS scaled,
+          words(concat(indicator, ' of mechanism ', mech_code), 1, 3) AS first_words,
+          age_label(concat('Y0', mech_code, '_0', fiscal_year)) AS age
+        FROM {sums}""", sums=sums)

@@ -39,10 +39,10 @@ def settings(spark, **values):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: their last step orders a handful of rows: category ranks, one row per range
+#: their last step orders a handful of rows: category ranks, one row per range, a top list
 FEW_ROWS_TO_ONE_TASK = {
     "category_order", "modality_by_mech", "modality_index", "modality_index_two_keys",
-    "every_nth", "every_nth_order", "fill_operating_unit_run_on",
+    "every_nth", "every_nth_order", "fill_operating_unit_run_on", "sketch_top_mechs",
 }
 
 
