@@ -12,18 +12,20 @@ Candidates are found the way a merge of posting lists with a count threshold fin
   looked up under its ``K - T + 1`` rarest postings (prefix), and the frequent lists are skipped;
 * the collisions of the pairs found are then counted on the two signatures.
 
-A list is first joined with one member alone, the one that shares most of its coordinates. Of the
-pairs that this has not connected already, those in short lists are compared. In a long list (a third
-of all rows may be near copies of one text) the rest are found through their differences from
-that member: two sets that both lie near it can only be similar if their differences
-coincide enough, and differences that few sets share are looked up first. So no list is
-unfolded into its pairs, and no link between groups is lost.
+Every set is first paired with one other alone, the head of one of its lists, and what that leaves unconnected with
+a second. From then on lists know the component of each member, and only pairs of different components are of interest.
+Lists with few of those for their length are compared pair by pair. In a list with many (two large groups of near
+copies that resemble each other but are not similar) links are found through differences from a head:
+two sets that both lie near it can only be similar if their differences coincide enough, and differences that
+few sets share are looked up first. The members that share a difference form a list again, in which a
+group that hangs together costs no pair. No link between groups is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,10 @@ T = 36
 WIDTH = 4
 #: links need 100 * shared >= PERCENT * union
 PERCENT = 80
-#: members up to which the pairs of a posting list are compared one by one
+#: pairs per member up to which the members of a list that are not connected yet are compared one by one
 SHORT = 48
+#: heads after which a list is compared pair by pair however many there are
+DEPTH = 4
 #: ids up to which a list of them is broadcast (8 bytes each)
 BROADCAST_IDS = 1_000_000
 
@@ -154,25 +158,58 @@ def _links(pairs: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
     return _with_members(close, full).mapInArrow(_similar, "a bigint, b bigint")
 
 
-def _open_lists(placed: DataFrame) -> DataFrame:
-    """Entries of lists with several components, with their list's length and largest component."""
-    held = placed.groupBy("at", "value", "component").agg(F.count("*").alias("held"))
-    lists = held.groupBy("at", "value").agg(
-        F.count("*").alias("parts"), F.sum("held").alias("length"),
-        F.max(F.struct("held", "component")).alias("top"))
-    lists = lists.filter("parts > 1").select("at", "value", "length", F.col("top.component").alias("main"))
-    return placed.join(lists, ["at", "value"])
+#: a posting list, or the members of one that share a difference from its head: (at, value)
+_LIST = ("at", "value")
+#: what is known of a member there: ``linked`` with the list's head, ``d`` differences from it, ``place`` of the shared one
+_MEMBER = ("id", "component", "n_shingles", "linked", "d", "place")
 
 
-def _short_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one list of at most ``SHORT`` members whose components differ and whose sizes fit."""
-    entry = ("at", "value", "id", "component", "n_shingles")
-    x = members.filter("component <> main").select("at", "value", *[F.col(c).alias(f"x_{c}") for c in entry[2:]])
-    y = members.select("at", "value", *[F.col(c).alias(f"y_{c}") for c in entry[2:]])
+def _star(entries: DataFrame, by: str) -> DataFrame:
+    """One pair (a, b) per member: with the head of one of its lists, that with the largest ``by`` of all its heads.
+
+    The head of a list is its member with the largest ``by``, so sets of one group choose the same few heads.
+    """
+    heads = stage(entries.groupBy(*_LIST).agg(F.min(F.struct((-F.col(by)).alias("rank"), F.col("id").alias("head"))).alias("best")))
+    chosen = entries.join(heads, [*_LIST]).filter(F.col("id") != F.col("best.head")).groupBy("id").agg(F.min("best")["head"].alias("head"))
+    return chosen.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+
+
+def _placed(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of posting lists with the columns of ``labels``; there is no head yet that they could differ from."""
+    return postings.join(labels, "id", "left").withColumns({
+        "component": F.coalesce("component", "id"), "at": F.col("at").cast("bigint"), "value": F.col("value").cast("bigint"),
+        "linked": F.lit(False), "d": F.lit(0), "place": F.lit(0)})
+
+
+def _open_lists(members: DataFrame) -> DataFrame:
+    """Members of lists with several components, with their list's ``length``, largest component and number of ``pairs`` apart.
+
+    Of two sets that are linked with the head neither needs the list: one with unlinked members only is open.
+    """
+    held = members.groupBy(*_LIST, "component").agg(F.count("*").alias("held"), F.bool_and("linked").alias("linked"))
+    lists = held.groupBy(*_LIST).agg(
+        F.count("*").alias("parts"), F.sum("held").alias("length"), F.sum(F.col("held") * F.col("held")).alias("within"),
+        F.bool_and("linked").alias("linked"), F.max(F.struct("held", "component")).alias("top"))
+    apart = ((F.col("length") * F.col("length") - F.col("within")) / 2).cast("bigint")
+    lists = stage(lists.filter("parts > 1 AND NOT linked").select(
+        *_LIST, "length", apart.alias("pairs"), F.col("top.component").alias("main")))
+    return members.join(lists, [*_LIST])
+
+
+def _cross_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one list whose components differ and that sizes, and differences from the head, allow."""
+    x = members.filter("component <> main").select(*_LIST, *[F.col(c).alias(f"x_{c}") for c in _MEMBER])
+    y = members.select(*_LIST, "main", *[F.col(c).alias(f"y_{c}") for c in _MEMBER])
     sizes = (F.col("x_n_shingles"), F.col("y_n_shingles"))
     fits = F.least(*sizes) * 100 >= F.greatest(*sizes) * PERCENT
-    return x.join(y, ["at", "value"]).filter((F.col("x_component") != F.col("y_component")) & fits).select(
-        F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    # two members outside the main component meet twice: once is enough
+    once = (F.col("y_component") == F.col("main")) | (F.col("x_id") < F.col("y_id"))
+    needed = F.col("x_d") + F.col("y_d") - (sizes[0] + sizes[1]) / 9
+    possible = 2 * (F.least(F.col("x_d") - F.col("x_place"), F.col("y_d") - F.col("y_place")) + 1)
+    return x.join(y, [*_LIST]).filter(
+        (F.col("x_component") != F.col("y_component")) & once & fits & ~(F.col("x_linked") & F.col("y_linked"))
+        & (possible >= needed - 1e-6)
+    ).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def _differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +228,8 @@ def _differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["head", "id", "head_size", "size", "differences"])
 
 
-def _long_pairs(members: DataFrame, full: DataFrame) -> DataFrame:
-    """Pairs of long lists that may be linked, by their differences from the list's head.
+def _by_differences(members: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs of lists' heads with members linked to them, entries of the members under their differences from the head).
 
     Sets of sizes n and m are linked if and only if they differ in at most (n + m) / 9 elements. With
     d(x) the number of differences of x from the head, x and y differ in d(x) + d(y) less twice
@@ -202,14 +239,17 @@ def _long_pairs(members: DataFrame, full: DataFrame) -> DataFrame:
     (d(y) + (n(head) - n(y)) / 9) / 2. All sets order their differences alike: first
     what they have beyond the head, which few share, then what they lack of it. So only the first few of
     each need be looked up, and the places of the one found bound how many can follow.
+
+    Entries carry the component of their member. Those under one difference are a list again: members of a large
+    group that share it are one component there, and cost no pair.
     """
-    # the head is the member of most long lists, then of most links: the lists of a group share it
+    # the head is of its list's largest component, the member of most long lists, then of most links: lists of a group share it
     listed = members.join(members.groupBy("id").agg(F.count("*").alias("lists")), "id")
-    heads = listed.groupBy("at", "value").agg(
-        F.min(F.struct(-F.col("lists"), -F.col("degree"), "id"))["id"].alias("head"))
-    family = members.join(heads, ["at", "value"]).filter("id <> head").select(
-        F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    apart = _with_members(family, full).mapInArrow(
+    heads = stage(listed.filter("component = main").groupBy(*_LIST).agg(
+        F.min(F.struct(-F.col("lists"), -F.col("degree"), "id"))["id"].alias("head")))
+    family = members.join(heads, [*_LIST]).filter("id <> head").select(
+        F.col("head").alias("a"), F.col("id").alias("b"), "component", "degree").distinct()
+    apart = _with_members(family.select("a", "b"), full).mapInArrow(
         _differences, "head bigint, id bigint, head_size bigint, size bigint, differences array<bigint>")
     d = F.size("differences")
     each = apart.select(
@@ -217,23 +257,36 @@ def _long_pairs(members: DataFrame, full: DataFrame) -> DataFrame:
         (d * 9 <= F.col("size") + F.col("head_size")).alias("linked"),
         (d - (F.col("size") + F.col("head_size")) / 9).alias("beyond"),
         ((d + (F.col("head_size") - F.col("size")) / 9) / 2).alias("half"))
+    each = stage(each.join(family.select(F.col("a").alias("head"), F.col("b").alias("id"), "component", "degree"), ["head", "id"]))
+    own = each.filter("linked").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
     least = F.greatest(F.ceil(F.when(F.col("linked"), F.col("half")).otherwise(
         F.greatest(F.col("beyond") * 0.9, F.col("d") - F.col("size") / 4)) - 1e-6), F.lit(1))
     looked_up = F.greatest(F.col("d") - least + 1, F.lit(0)).cast("int")
-    entries = stage(each.select(
-        "head", "id", "size", "d", "linked", F.posexplode(F.slice("differences", F.lit(1), looked_up)).alias("at", "value")
-    ).withColumn("place", F.col("at") + 1).drop("at"))
-    x = entries.filter(~F.col("linked")).select("head", "value", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "d", "place")])
-    y = entries.select("head", "value", *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "d", "place", "linked")])
-    needed = F.col("x_d") + F.col("y_d") - (F.col("x_size") + F.col("y_size")) / 9
-    possible = 2 * (F.least(F.col("x_d") - F.col("x_place"), F.col("y_d") - F.col("y_place")) + 1)
-    once = F.col("y_linked") | (F.col("x_id") < F.col("y_id"))
-    pairs = x.join(y, ["head", "value"]).filter(
-        (F.col("x_id") != F.col("y_id")) & once & (possible >= needed - 1e-6)
-    ).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-    # this head need not be the one that the list's star had
-    own = entries.filter("linked AND place = 1").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
-    return pairs.unionAll(own).distinct()
+    entries = each.select(
+        F.col("head").alias("at"), "id", "component", "degree", F.col("size").alias("n_shingles"), "linked", "d",
+        F.posexplode(F.slice("differences", F.lit(1), looked_up)).alias("place", "value")).withColumn("place", F.col("place") + 1)
+    return own, entries
+
+
+def _remaining_pairs(entries: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, in one list, among which all links that are left must be.
+
+    Lists with few pairs apart, in proportion to their members, are compared pair by pair. A list with many is cut into
+    the lists of its members' differences from a head, which are treated alike, each time with the head of another
+    group; what is left after ``DEPTH`` heads is compared pair by pair, too, so no case is left out.
+    """
+    found = []
+    for depth in range(DEPTH + 1):
+        members = stage(_open_lists(entries))
+        few = F.col("pairs") <= F.col("length") * SHORT
+        if depth == DEPTH or members.filter(~few).isEmpty():
+            found.append(_cross_pairs(members))
+            break
+        found.append(_cross_pairs(members.filter(few)))
+        own, entries = _by_differences(members.filter(~few), full)
+        found.append(own)
+        entries = stage(entries)
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -249,32 +302,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = stage(signatures(docs, width))
     worded = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = worded.groupBy("set_key").agg(F.min("doc_id").alias("id"))
+    # staged, so that the joins below are placed by themselves and a set with very many copies can be split
+    classes = stage(worded.groupBy("set_key").agg(F.min("doc_id").alias("id")))
     sets = stage(
         worded.withColumnRenamed("doc_id", "id").join(classes, ["set_key", "id"])
         .dropDuplicates(["id", "set_key"]).select("id", "n_shingles", "set_key", "signature")
     )
     postings = stage(prefix_postings(sets))
     full = full_sets(docs, postings, width)
-    heads = postings.groupBy("at", "value").agg(F.min(F.struct(-F.col("n_shared"), "id"))["id"].alias("head"))
-    stars = postings.join(heads, ["at", "value"]).filter(F.col("id") != F.col("head")).select(
-        F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    links = stage(_links(stars, sets, full))
+    # two stars: with the best head of any list, then with the best among those that the first has not connected
+    links = stage(_links(_star(postings, "n_shared"), sets, full))
+    labels = stage(components(links, rounds=2))
+    left = stage(_open_lists(_placed(postings, labels)).filter("component <> main").select(*_LIST, "id", "n_shared"))
+    links = stage(links.unionAll(_links(_star(left, "n_shared"), sets, full)).distinct())
     # labels that are equal only within a component are enough to tell which pairs are left
-    first = stage(components(links, rounds=1))
+    labels = stage(components(links, rounds=2))
     degrees = links.unionAll(links.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("id")).agg(
         F.count("*").alias("degree"))
-    placed = postings.join(first.join(degrees, "id"), "id", "left")
-    members = stage(_open_lists(placed.withColumns({
-        "component": F.coalesce("component", "id"), "degree": F.coalesce("degree", F.lit(0))})))
-    rest = _short_pairs(members.filter(F.col("length") <= SHORT)).unionAll(
-        _long_pairs(members.filter(F.col("length") > SHORT), full)).distinct()
+    entries = _placed(postings, labels.join(degrees, "id")).withColumn("degree", F.coalesce("degree", F.lit(0).cast("bigint")))
+    rest = _remaining_pairs(entries, full)
     # rows of one class hang together, and so do rows with one doc_id
     own = worded.select("set_key", F.col("doc_id").alias("b")).join(classes, "set_key").select(F.col("id").alias("a"), "b")
     renamed = own.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low <> high")
     repeated = own.join(renamed.select("b"), "b", "left_semi").select("a", "b")
     merged = components(
-        _links(rest, sets, full).unionAll(first.select(F.col("component").alias("a"), F.col("id").alias("b")))
+        _links(rest, sets, full).unionAll(labels.select(F.col("component").alias("a"), F.col("id").alias("b")))
         .unionAll(repeated))
     named = classes.join(merged, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     found = signed.join(named, "set_key", "left").withColumn(

@@ -9,12 +9,13 @@ from quarterline.llm import near_dup
 from quarterline.llm.graph import components
 
 
-def brute_force(rows):
+def brute_force(rows, width=4):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets, parent = {}, {}
     for doc_id, text in rows:
         words = [w for w in re.split("[ \t-\r]+", (text or "").translate(lower)) if w]
-        own = {tuple(words[i: i + 4]) for i in range(len(words) - 3)} if len(words) >= 4 else {tuple(words)} - {()}
+        runs = {tuple(words[i: i + width]) for i in range(len(words) - width + 1)}
+        own = runs if len(words) >= width else {tuple(words)} - {()}
         sets[doc_id], parent[doc_id] = own, doc_id
 
     def find(x):
@@ -62,6 +63,36 @@ def test_groups_of_copies_equal_brute_force(documents, monkeypatch, short):
     assert found(near_dup.near_duplicates(documents(rows))) == brute_force(rows)
 
 
+@pytest.mark.parametrize("short", [1, 8])
+def test_large_groups_that_resemble_each_other_cost_few_pairs(documents, monkeypatch, short):
+    """Three groups of 70 whose bases share about 0.7 of their runs, so that they meet in many lists."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = list(copies_of(base, 70, 1, rng))
+    for at in (5, 30):
+        other = base[:at] + [f"y{at}{k}" for k in range(20)] + base[at + 20:]
+        rows += copies_of(other, 70, 1, rng)
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(near_dup, "SHORT", short)
+    compared, given = [], near_dup._remaining_pairs
+
+    def counted(*args):
+        pairs = given(*args)
+        compared.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dup, "_remaining_pairs", counted)
+    got, expected = found(near_dup.near_duplicates(documents(rows))), brute_force(rows)
+    assert got == expected and len({c for _, c, _ in expected.values()}) == 3
+    assert compared[0] < (10 + short) * len(rows)
+
+
+@pytest.mark.parametrize("width", [1, 5])
+def test_other_widths(documents, width):
+    rows = corpus(6, 2, 20, 6)
+    assert found(near_dup.near_duplicates(documents(rows), width=width)) == brute_force(rows, width)
+
+
 def test_edge_texts(documents):
     rows = [
         (5, None), (4, ""), (3, " \n\t "), (9, "one two three"), (8, "ONE  two\nthree"), (7, "one two"), (6, "Ärger one two three"),
