@@ -12,8 +12,7 @@ Candidates are found the way a merge of posting lists with a count threshold fin
   looked up under its ``K - T + 1`` rarest postings (prefix), and the frequent lists are skipped;
 * the collisions of the pairs found are then counted on the two signatures.
 
-Every set is first paired with one other alone, the head of one of its lists, and what that leaves unconnected with
-a second. From then on lists know the component of each member, and only pairs of different components are of interest.
+Every set is first paired with one other alone, the head of one of its lists. From then on lists know the component of each member, and only pairs of different components are of interest.
 Lists with few of those for their length are compared pair by pair. In a list with many (two large groups of near
 copies that resemble each other but are not similar) links are found through differences from a head:
 two sets that both lie near it can only be similar if their differences coincide enough, and differences that
@@ -43,6 +42,10 @@ WIDTH = 4
 PERCENT = 80
 #: pairs per member up to which the members of a list that are not connected yet are compared one by one
 SHORT = 48
+#: heads that a set is compared with before anything else
+HEADS = 2
+#: members of one component in a list that make it a large group there
+LARGE = 16
 #: heads after which a list is compared pair by pair however many there are
 DEPTH = 4
 #: ids up to which a list of them is broadcast (8 bytes each)
@@ -165,13 +168,16 @@ _MEMBER = ("id", "component", "n_shingles", "linked", "d", "place")
 
 
 def _star(entries: DataFrame, by: str) -> DataFrame:
-    """One pair (a, b) per member: with the head of one of its lists, that with the largest ``by`` of all its heads.
+    """Pairs (a, b) of each member with up to ``HEADS`` heads of its lists, those with the largest ``by``.
 
     The head of a list is its member with the largest ``by``, so sets of one group choose the same few heads.
     """
     heads = stage(entries.groupBy(*_LIST).agg(F.min(F.struct((-F.col(by)).alias("rank"), F.col("id").alias("head"))).alias("best")))
-    chosen = entries.join(heads, [*_LIST]).filter(F.col("id") != F.col("best.head")).groupBy("id").agg(F.min("best")["head"].alias("head"))
-    return chosen.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    chosen = entries.join(heads, [*_LIST]).filter(F.col("id") != F.col("best.head")).groupBy("id").agg(
+        F.slice(F.array_sort(F.collect_set("best")), 1, HEADS).alias("best"))
+    # a head's own heads rank before it, so no pair comes twice
+    return chosen.select("id", F.explode("best.head").alias("head")).select(
+        F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
 
 
 def _placed(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -182,17 +188,20 @@ def _placed(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open_lists(members: DataFrame) -> DataFrame:
-    """Members of lists with several components, with their list's ``length``, largest component and number of ``pairs`` apart.
+    """Members of lists with several components, with their list's ``length``, its largest component ``main``, and the
+    number of ``pairs`` of different components, of all and (``large_pairs``) of those with ``LARGE`` members there.
 
-    Of two sets that are linked with the head neither needs the list: one with unlinked members only is open.
+    Two sets that are linked with the head are connected: a list without any other is not open.
     """
     held = members.groupBy(*_LIST, "component").agg(F.count("*").alias("held"), F.bool_and("linked").alias("linked"))
+    large = F.when(F.col("held") >= LARGE, F.col("held")).otherwise(0)
     lists = held.groupBy(*_LIST).agg(
         F.count("*").alias("parts"), F.sum("held").alias("length"), F.sum(F.col("held") * F.col("held")).alias("within"),
+        F.sum(large).alias("large"), F.sum(large * large).alias("large_within"),
         F.bool_and("linked").alias("linked"), F.max(F.struct("held", "component")).alias("top"))
-    apart = ((F.col("length") * F.col("length") - F.col("within")) / 2).cast("bigint")
-    lists = stage(lists.filter("parts > 1 AND NOT linked").select(
-        *_LIST, "length", apart.alias("pairs"), F.col("top.component").alias("main")))
+    lists = stage(lists.filter("parts > 1 AND NOT linked").selectExpr(
+        *_LIST, "length", "(length * length - within) div 2 AS pairs", "(large * large - large_within) div 2 AS large_pairs",
+        "top.component AS main"))
     return members.join(lists, [*_LIST])
 
 
@@ -213,7 +222,7 @@ def _cross_pairs(members: DataFrame) -> DataFrame:
 
 
 def _differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(head, id, sizes, differences): what b has beyond its head a, then what it lacks of it, marked."""
+    """(head, id, sizes, differences): what b has beyond its head a, and what it lacks of it, marked."""
     for part in parts:
         a_sizes, b_sizes, found = [], [], []
         for a, b in zip(part.column("a_members"), part.column("b_members")):
@@ -236,16 +245,15 @@ def _by_differences(members: DataFrame, full: DataFrame) -> tuple[DataFrame, Dat
     the differences they share. Sets linked with the head are connected by it, so one
     of the two, x, has d(x) above (n(x) + n(head)) / 9. Then the shared differences number at least
     0.9 * (d(x) - (n(x) + n(head)) / 9), at least d(x) - n(x) / 4 since m is at most 5/4 n, and
-    (d(y) + (n(head) - n(y)) / 9) / 2. All sets order their differences alike: first
-    what they have beyond the head, which few share, then what they lack of it. So only the first few of
-    each need be looked up, and the places of the one found bound how many can follow.
+    (d(y) + (n(head) - n(y)) / 9) / 2. All sets order their differences alike, those that the fewest sets share
+    first. So only the first few of each need be looked up, and the places of the one found bound how many can follow.
 
     Entries carry the component of their member. Those under one difference are a list again: members of a large
     group that share it are one component there, and cost no pair.
     """
-    # the head is of its list's largest component, the member of most long lists, then of most links: lists of a group share it
+    # the head is the member of most long lists, then of most links: the lists of a group share it
     listed = members.join(members.groupBy("id").agg(F.count("*").alias("lists")), "id")
-    heads = stage(listed.filter("component = main").groupBy(*_LIST).agg(
+    heads = stage(listed.groupBy(*_LIST).agg(
         F.min(F.struct(-F.col("lists"), -F.col("degree"), "id"))["id"].alias("head")))
     family = members.join(heads, [*_LIST]).filter("id <> head").select(
         F.col("head").alias("a"), F.col("id").alias("b"), "component", "degree").distinct()
@@ -261,24 +269,31 @@ def _by_differences(members: DataFrame, full: DataFrame) -> tuple[DataFrame, Dat
     own = each.filter("linked").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
     least = F.greatest(F.ceil(F.when(F.col("linked"), F.col("half")).otherwise(
         F.greatest(F.col("beyond") * 0.9, F.col("d") - F.col("size") / 4)) - 1e-6), F.lit(1))
-    looked_up = F.greatest(F.col("d") - least + 1, F.lit(0)).cast("int")
-    entries = each.select(
-        F.col("head").alias("at"), "id", "component", "degree", F.col("size").alias("n_shingles"), "linked", "d",
-        F.posexplode(F.slice("differences", F.lit(1), looked_up)).alias("place", "value")).withColumn("place", F.col("place") + 1)
+    known = ("at", "id", "component", "degree", "n_shingles", "linked", "d", "least")
+    each = each.withColumns({"at": F.col("head"), "n_shingles": F.col("size"), "least": least.cast("int")})
+    every = each.select(*known, F.explode("differences").alias("value"))
+    counts = stage(every.groupBy(*_LIST).agg(F.count("*").alias("members")).filter("members > 1"))
+    # the rarest first: differences of one member alone take the first places and need no entry
+    ranked = every.join(counts, [*_LIST], "left").groupBy(*known).agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("members", F.lit(1)).alias("members"), "value"))).alias("differences"))
+    looked_up = F.slice("differences", F.lit(1), F.greatest(F.col("d") - F.col("least") + 1, F.lit(0)).cast("int"))
+    entries = ranked.select(*known, F.posexplode(looked_up).alias("place", "difference")).filter("difference.members > 1").select(
+        *known, F.col("difference.value").alias("value"), (F.col("place") + 1).alias("place"))
     return own, entries
 
 
 def _remaining_pairs(entries: DataFrame, full: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components, in one list, among which all links that are left must be.
 
-    Lists with few pairs apart, in proportion to their members, are compared pair by pair. A list with many is cut into
-    the lists of its members' differences from a head, which are treated alike, each time with the head of another
-    group; what is left after ``DEPTH`` heads is compared pair by pair, too, so no case is left out.
+    Lists with few pairs of different components, in proportion to their members, are compared pair by pair. A list with
+    many is cut into the lists of its members' differences from a head. There, numbers of differences rule out nearly all
+    pairs of sets that stand alone; only where large groups meet, their lists are cut again with the head of another
+    group. What is left after ``DEPTH`` heads is compared pair by pair, too, so no case is left out.
     """
     found = []
     for depth in range(DEPTH + 1):
         members = stage(_open_lists(entries))
-        few = F.col("pairs") <= F.col("length") * SHORT
+        few = F.col("large_pairs" if depth else "pairs") <= F.col("length") * SHORT
         if depth == DEPTH or members.filter(~few).isEmpty():
             found.append(_cross_pairs(members))
             break
@@ -310,11 +325,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
     postings = stage(prefix_postings(sets))
     full = full_sets(docs, postings, width)
-    # two stars: with the best head of any list, then with the best among those that the first has not connected
     links = stage(_links(_star(postings, "n_shared"), sets, full))
-    labels = stage(components(links, rounds=2))
-    left = stage(_open_lists(_placed(postings, labels)).filter("component <> main").select(*_LIST, "id", "n_shared"))
-    links = stage(links.unionAll(_links(_star(left, "n_shared"), sets, full)).distinct())
     # labels that are equal only within a component are enough to tell which pairs are left
     labels = stage(components(links, rounds=2))
     degrees = links.unionAll(links.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("id")).agg(
