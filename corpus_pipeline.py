@@ -29,6 +29,8 @@ from quarterline.session import stage
 
 #: a small source is read at most so often
 MAX_REPEAT = 2.0
+#: words of a run in the near-duplicate stage
+WIDTH = 5
 #: columns of documents that stages work on
 OWN = ("doc_id", "text", "source", "n_chars")
 
@@ -52,21 +54,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @keeps_columns
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose doc_id stands for its group; of rows with one doc_id, one. Of rows without a doc_id, one of each text.
+    """Of every group of near duplicates, by runs of five words, one row.
 
-    Ids are counted before texts are touched: texts are only shuffled to single out rows if some id is
-    repeated, or if there are more kept ids than a broadcast may have.
+    Rows are what is compared: two texts under one doc_id go only if they are near duplicates, and so do rows without
+    a doc_id. Where ids are unique they name the rows. Otherwise rows are numbered first and staged with
+    their numbers, so that every later read sees the same ones. Texts without a word stay.
     """
-    kept = stage(near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept")).count())
-    counts = kept.groupBy().agg(
-        F.coalesce(F.max(F.when(F.col("_kept").isNotNull(), F.col("count"))), F.lit(0)).alias("named"),
-        F.coalesce(F.max(F.when(F.col("_kept").isNull(), F.col("count"))), F.lit(0)).alias("unnamed")).first()
+    unclear = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
+    if unclear.isEmpty():
+        return _one_of_each(docs, "doc_id")
+    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    return _one_of_each(numbered, "_row").drop("_row")
+
+
+def _one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key stands for their group; keys are unique."""
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), width=WIDTH)
+    kept = stage(found.filter("kept").select(F.col("doc_id").alias("_kept")))
     ids = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
-    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if max(counts) <= 1:
-        return rows
-    named, unnamed = rows.filter("doc_id IS NOT NULL"), rows.filter("doc_id IS NULL")
-    return (named.dropDuplicates(["doc_id"]) if counts["named"] > 1 else named).unionAll(unnamed.dropDuplicates(["text"]))
+    return rows.join(ids, F.col(key) == F.col("_kept"), "left_semi")
 
 
 @keeps_columns
