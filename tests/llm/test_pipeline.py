@@ -28,7 +28,7 @@ def test_columns_and_names(steps):
 def test_decisions(steps):
     given, good, single, clean, mixed, packed = ([tuple(r) for r in df.collect()] for df in steps)
     assert set(good) <= set(given) and len(good) > 0.6 * len(given)
-    kept = {i for i, (_, _, kept) in brute_force([r[:2] for r in good]).items() if kept}
+    kept = {i for i, (_, _, kept) in brute_force([r[:2] for r in good], pipeline.WIDTH).items() if kept}
     assert {r[0] for r in single} == kept and len(single) == len(kept)
     assert {r[0] for r in clean} == kept
     before = {r[0]: r[1] for r in single}
@@ -61,6 +61,16 @@ def test_documents_without_an_id_stay(spark, documents):
     assert sorted(got, key=str) == sorted([(None, text) for text in texts] + [(1, "text with an id of its own"), (2, "more")], key=str)
 
 
+def test_different_texts_under_one_id_stay(spark, documents):
+    one, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    near = one.replace("a30", "changed")
+    rows = [(1, one), (1, other), (1, one), (2, near), (None, one), (None, "no id, no twin, five words"), (3, "x" * 300_000), (4, None)]
+    got = sorted(((r[0] or 0), r[1]) for r in pipeline.near_dedup(spark, documents(rows), SF).collect() if r[1])
+    texts = [t for _, t in got]
+    assert sorted(texts) == sorted([t for t in texts if t in (one, near)] + [other, "no id, no twin, five words", "x" * 300_000])
+    assert sum(t in (one, near) for t in texts) == 1 and got[-1][0] == 3
+
+
 def test_extra_columns_keep_their_values(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr(
         "*", "doc_id * 3 AS epoch", "concat('p', doc_id) AS position", "doc_id + 1 AS spans", "-doc_id AS _kept", "doc_id * 2 AS _rate")
