@@ -145,7 +145,7 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_union_free_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return main_texts(pages, stage(host_wrappers(pages)))
+    return main_texts(pages, host_wrappers(pages))
 
 
 @_query
