@@ -30,7 +30,8 @@ _HINTS = {
 }
 KINDS = ("assign", "access", "hex", "markov")
 #: tokens the Markov models judge
-TOKEN = "[A-Za-z0-9+/_-]{20,}"
+LEAST = 20
+TOKEN = f"[A-Za-z0-9+/_-]{{{LEAST},}}"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: documents from which ordinary identifiers are taken when fitting
@@ -124,24 +125,50 @@ def corpus_samples(docs: DataFrame, documents: int = SAMPLE_DOCS) -> DataFrame:
     return both.select("s.*")
 
 
-def _markov(ratios: list[float]) -> Column:
-    """Spans of the tokens that the models call random."""
+_PIECE = "struct<start:int,rank:int,kind:string,end:int,first:int,past:int>"
+
+
+def _rest(token: Column, named: Column) -> Column:
+    """What the ``named`` spans, in order, leave of a token; each piece with the token's own start and end."""
+    met = F.filter(named, lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
+
+    def piece(start: Column, end: Column) -> Column:
+        whole = F.struct(
+            start.alias("start"), token["rank"].alias("rank"), token["kind"].alias("kind"), end.alias("end"),
+            token["start"].alias("first"), token["end"].alias("past"))
+        return F.when(start < end, F.array(whole)).otherwise(F.array().cast(f"array<{_PIECE}>")).cast(f"array<{_PIECE}>")
+
+    def step(state: Column, span: Column) -> Column:
+        return F.struct(
+            F.greatest(state["at"], span["end"]).alias("at"),
+            F.concat(state["found"], piece(state["at"], span["start"])).alias("found"))
+
+    start = F.struct(token["start"].alias("at"), F.array().cast(f"array<{_PIECE}>").alias("found"))
+    return F.aggregate(met, start, step, lambda state: F.concat(state["found"], piece(state["at"], token["end"])))
+
+
+def _markov(ratios: list[float], named: Column) -> Column:
+    """Spans of what ``named`` spans leave of tokens, where the models call the token or the rest random."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    places = spans_of("markov", TOKEN, 0, 0)
+    pieces = F.flatten(F.transform(spans_of("markov", TOKEN, 0, 0), lambda token: _rest(token, named)))
 
-    def score(span: Column) -> Column:
-        token = F.substring(F.col("text"), span["start"] + 1, span["end"] - span["start"])
+    def is_random(start: Column, end: Column) -> Column:
+        token = F.substring(F.col("text"), start + 1, end - start)
         total = F.aggregate(_pairs(_codes(token)), F.lit(0.0), lambda sum, pair: sum + F.get(table, pair))
-        return total / (span["end"] - span["start"])
+        return total / (end - start) >= THRESHOLD
 
-    return F.filter(places, lambda span: score(span) >= THRESHOLD)
+    found = F.filter(
+        pieces, lambda p: is_random(p["first"], p["past"])
+        | ((p["end"] - p["start"] < p["past"] - p["first"]) & (p["end"] - p["start"] >= LEAST) & is_random(p["start"], p["end"])))
+    return F.transform(found, lambda p: F.struct(p["start"], p["rank"], p["kind"], p["end"])).cast(f"array<{_SPAN}>")
 
 
 def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """``docs`` with ``spans``: array of (start, rank, kind, end) in order of place.
 
-    Base kinds keep all their spans, which may overlap those of another kind; a Markov span
-    is added only where it meets none of them. A NULL or empty text has no spans. Rows are
+    Base kinds keep all their spans, which may overlap those of another kind. A token that the models
+    call random adds a Markov span for each piece of it that no base span covers; so does a piece of ``LEAST``
+    characters or more that is random by itself. A NULL or empty text has no spans. Rows are
     independent: repeated rows and rows without id get their own results, other columns stay, but one that is
     called ``spans`` is replaced.
     """
@@ -149,10 +176,8 @@ def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
     base = [
         F.when(F.col("text").rlike(_HINTS[kind]), spans_of(kind, *BASE[kind])).otherwise(none) for kind in BASE
     ]
-    named = docs.withColumn("spans", F.concat(*base)).withColumn("spans", F.coalesce("spans", none))
-    markov = F.filter(
-        F.when(F.col("text").rlike(TOKEN), _markov(ratios)).otherwise(none),
-        lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    named = docs.withColumn("spans", F.sort_array(F.coalesce(F.concat(*base), none)))
+    markov = F.when(F.col("text").rlike(TOKEN), _markov(ratios, F.col("spans"))).otherwise(none)
     return named.withColumn("spans", F.sort_array(F.concat("spans", markov)))
 
 
