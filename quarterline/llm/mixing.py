@@ -6,6 +6,9 @@ not so small that a source would be repeated more often than a limit. A source o
 whole permutations of its rows, floor(r) times, and in one last permutation that stops when the
 rest of its token budget is used. Permutations order rows by a hash of (epoch, doc_id).
 
+The exponent needs two sums over all sources, of t ** a and t ** a * ln t, at the exponents that are tried. Spark adds them
+up, for ``CUTS`` exponents in one pass, so that there may be any number of sources.
+
 The stop of the last permutation is a hash value per source. It is found from token sums of (source, block
 of hashes) and the rows of one block per source, so a source with a third of all rows is
 summed by many tasks, and afterwards every row decides for itself: texts are never shuffled.
@@ -14,79 +17,87 @@ summed by many tasks, and afterwards every row decides for itself: texts are nev
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterline.session import shuffle_partitions, stage
 
-#: sources one mixture may have; their token sums reach the driver (about 100 bytes each)
-MOST_SOURCES = 100_000
+#: exponents tried in one pass over the sources
+CUTS = 64
 #: rows of the plan up to which it is broadcast
 BROADCAST_ROWS = 100_000
 REPEAT = 2.0
 _HALF = 1 << 62
 
 
-def _shares(tokens: list[float], exponent: float) -> list[float]:
-    total = sum(tokens)
-    raised = [(t / total) ** exponent if t else 0.0 for t in tokens]
-    whole = sum(raised)
-    return [x / whole for x in raised]
+#: sums of share ** a and share ** a * ln(share) at each of some exponents, over sources with tokens
+Moments = Callable[[list[float]], list[tuple[float, float]]]
+
 
+def _edge(holds: Callable[[list[float]], list[bool]]) -> float:
+    """The exponent from 0 to 1 at the edge of ``holds``, on the side where it is true; bisection, ``CUTS`` parts at a time."""
+    low, high = 0.0, 1.0
+    first, last = holds([low, high])
+    if first == last:
+        return low if first else high
+    for _ in range(10):
+        inner = [low + (high - low) * k / CUTS for k in range(1, CUTS)]
+        cut = next((k for k, held in enumerate(holds(inner)) if held == last), len(inner))
+        points = [low, *inner, high]
+        low, high = points[cut], points[cut + 1]
+    return high if last else low
 
-def _entropy(shares: list[float]) -> float:
-    return -sum(p * math.log(p) for p in shares if p)
 
+def exponent_for(
+    moments: Moments, largest: float, smallest: float, total: float, target_entropy: float | None = None,
+    max_repeat: float | None = REPEAT, budget: float | None = None,
+) -> float:
+    """Exponent for sources of which the largest and smallest with tokens are given.
 
-def _repeats(tokens: list[float], shares: list[float], budget: float | None) -> list[float]:
-    """Times each source is read; without a budget, the least repeated one is read once."""
-    if budget is None:
-        budget = max(t / p for t, p in zip(tokens, shares) if t)
-    return [p * budget / t if t else 1.0 for t, p in zip(tokens, shares)]
+    Bisection between 0 and 1, since entropy falls and repetition of small sources falls as the exponent
+    grows. With a target entropy, the largest exponent that reaches it; with a repetition limit, never below the
+    smallest exponent that keeps to it; with the limit alone, that smallest exponent.
+    """
+    def within(exponents: list[float]) -> list[bool]:
+        # the smallest source is read most often
+        if budget is None:
+            most = [(largest / smallest) ** (1 - a) for a in exponents]
+        else:
+            most = [(smallest / total) ** a / power * budget / smallest for a, (power, _) in zip(exponents, moments(exponents))]
+        return [repeat <= max_repeat + 1e-9 for repeat in most]
+
+    def reached(exponents: list[float]) -> list[bool]:
+        return [math.log(power) - a * logs / power >= target_entropy for a, (power, logs) in zip(exponents, moments(exponents))]
+
+    least = _edge(within) if max_repeat is not None else 0.0
+    if target_entropy is not None:
+        return max(least, _edge(reached)) if reached([0.0])[0] else least
+    return 1.0 if max_repeat is None else least
 
 
 def rates(
     tokens: dict[str | None, int], target_entropy: float | None = None, max_repeat: float | None = REPEAT,
     budget: float | None = None,
 ) -> tuple[float, dict[str | None, float]]:
-    """(exponent, times each source is read) for token counts per source.
+    """(exponent, times each source is read) for token counts per source; a source without tokens is read once."""
+    counts = [float(count) for _, count in sorted(tokens.items(), key=lambda item: (item[0] is not None, item[0])) if count]
+    if not counts:
+        return 1.0, dict.fromkeys(tokens, 1.0)
+    total = sum(counts)
 
-    Bisection between 0 and 1, since entropy falls and repetition of small sources falls as the exponent
-    grows. With a target entropy, the largest exponent that reaches it; with a repetition limit, never below the
-    smallest exponent that keeps to it; with the limit alone, that smallest exponent. A source without tokens is read once.
-    """
-    names = sorted(tokens, key=lambda name: (name is not None, name))
-    counts = [float(tokens[name]) for name in names]
-    if not any(counts):
-        return 1.0, dict.fromkeys(names, 1.0)
-
-    def bisect(holds) -> float:
-        """Largest or smallest exponent at the edge of ``holds``, which is true on one side."""
-        low, high = 0.0, 1.0
-        if holds(low) == holds(high):
-            return low if holds(low) else high
-        rising = holds(high)
-        for _ in range(60):
-            middle = (low + high) / 2
-            if holds(middle) == rising:
-                high = middle
-            else:
-                low = middle
-        return high if rising else low
-
-    def within(exponent: float) -> bool:
-        return max(_repeats(counts, _shares(counts, exponent), budget)) <= max_repeat + 1e-9
-
-    least = bisect(within) if max_repeat is not None else 0.0
-    exponent = least
-    if target_entropy is not None:
-        reached = bisect(lambda a: _entropy(_shares(counts, a)) >= target_entropy)
-        exponent = max(least, reached) if _entropy(_shares(counts, 0.0)) >= target_entropy else least
-    elif max_repeat is None:
-        exponent = 1.0
-    found = _repeats(counts, _shares(counts, exponent), budget)
-    return exponent, dict(zip(names, found))
+    def moments(exponents: list[float]) -> list[tuple[float, float]]:
+        raised = [[(t / total) ** a for t in counts] for a in exponents]
+        return [(sum(line), sum(x * math.log(t / total) for x, t in zip(line, counts))) for line in raised]
+
+    exponent = exponent_for(moments, max(counts), min(counts), total, target_entropy, max_repeat, budget)
+    power = moments([exponent])[0][0]
+
+    def rate(t: float) -> float:
+        return (t / max(counts)) ** (exponent - 1) if budget is None else (t / total) ** exponent / power * budget / t
+
+    return exponent, {name: rate(float(t)) if t else 1.0 for name, t in tokens.items()}
 
 
 def word_count(text: Column) -> Column:
@@ -100,24 +111,42 @@ def _order(epoch: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), epoch.cast("int"), "doc_id"), 2)
 
 
+def _rated(
+    sums: DataFrame, target_entropy: float | None = None, max_repeat: float | None = REPEAT, budget: float | None = None,
+) -> DataFrame:
+    """source, exponent, rate, epochs, rest (tokens of the last permutation) from (source, tokens)."""
+    count = F.col("tokens").cast("double")
+    total, largest, smallest = sums.filter("tokens > 0").agg(F.sum(count), F.max(count), F.min(count)).head()
+    exponent, rate = 1.0, F.lit(1.0)
+    if total:
+        share = count / F.lit(total)
+
+        def moments(exponents: list[float]) -> list[tuple[float, float]]:
+            powers = [F.pow(share, F.lit(a)) for a in exponents]
+            found = sums.filter("tokens > 0").agg(*(F.sum(x) for x in powers), *(F.sum(x * F.log(share)) for x in powers)).head()
+            return list(zip(found[: len(exponents)], found[len(exponents):]))
+
+        exponent = exponent_for(moments, largest, smallest, total, target_entropy, max_repeat, budget)
+        if budget is None:
+            rate = F.pow(count / F.lit(largest), F.lit(exponent - 1))
+        else:
+            rate = F.pow(share, F.lit(exponent)) / F.lit(moments([exponent])[0][0]) * F.lit(float(budget)) / count
+        rate = F.when(count > 0, rate).otherwise(F.lit(1.0))
+    rated = sums.select("source", "tokens", F.lit(exponent).alias("exponent"), rate.alias("rate"))
+    rated = rated.withColumn("epochs", F.floor(F.col("rate") + 1e-9).cast("int"))
+    rest = F.greatest(F.round((F.col("rate") - F.col("epochs")) * F.col("tokens")).cast("bigint"), F.lit(0).cast("bigint"))
+    return rated.withColumn("rest", rest).drop("tokens")
+
+
 def plan(docs: DataFrame, **targets) -> DataFrame:
     """Per source: exponent, rate, epochs (whole permutations), and ``stop``, the order in epoch ``epochs`` from which
     rows are left out."""
     spark = docs.sparkSession
     rows = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens")))
-    sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
-    exponent, found = rates({row["source"]: row["tokens"] for row in sums}, **targets)
-    planned = []
-    for row in sums:
-        rate = found[row["source"]]
-        epochs = math.floor(rate + 1e-9)
-        planned.append((row["source"], exponent, rate, epochs, int(round((rate - epochs) * row["tokens"]))))
-    sources = spark.createDataFrame(planned, "source string, exponent double, rate double, epochs int, rest bigint")
+    sources = stage(_rated(stage(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))), **targets))
     blocks = 4 * shuffle_partitions(spark)
     width = -(-_HALF // blocks)
-    small = F.broadcast(sources) if len(planned) <= BROADCAST_ROWS else sources
+    small = F.broadcast(sources) if sources.count() <= BROADCAST_ROWS else sources
     last = rows.join(
         small.filter("rest > 0").withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))
     ).withColumn("order", _order(F.col("epochs"))).withColumn("block", F.expr(f"order div {width}")).select(

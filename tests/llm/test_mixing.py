@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarterline.llm import mixing
 
@@ -43,6 +44,49 @@ def test_realised_readings(documents):
     assert max(seen.values()) <= 2
 
 
+@pytest.mark.parametrize("targets", [{}, {"target_entropy": 1.2, "max_repeat": None}, {"max_repeat": 3.0, "budget": 9000.0}])
+def test_readings_equal_brute_force(documents, targets):
+    """Each reading of each row against permutations that are sorted and summed here."""
+    rows = [(i, "w " * (1 + i % 7), ("a", "b", "b", "c", None, "a", "a")[i % 7] if i > 60 else "d") for i in range(900)]
+    df = documents(rows + [(2000, "", "e"), (2001, None, "e")])
+    exponent, found = mixing.rates(_totals(rows) | {"e": 0}, **targets)
+    planned = {r["source"]: r for r in mixing.plan(df, **targets).collect()}
+    epochs = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(max(found.values()))))).alias("e")
+    numbered = df.select("doc_id", epochs).select("doc_id", "e", mixing._order(F.col("e")).alias("o"))
+    order = {(r["e"], r["doc_id"]): r["o"] for r in numbered.collect()}
+    want = Counter()
+    for source, rate in found.items():
+        assert planned[source]["rate"] == pytest.approx(rate) and planned[source]["exponent"] == pytest.approx(exponent)
+        own = [(i, len((text or "").split())) for i, text, s in [*rows, (2000, "", "e"), (2001, None, "e")] if s == source]
+        whole = math.floor(rate + 1e-9)
+        left = round((rate - whole) * sum(n for _, n in own))
+        want.update((i, e) for i, _ in own for e in range(whole))
+        for i, n in sorted(own, key=lambda row: order[whole, row[0]]):
+            if left > 0:
+                want[i, whole] += 1
+            left -= n
+    assert Counter((r["doc_id"], r["epoch"]) for r in mixing.mixed(df, **targets).collect()) == want
+
+
+def _totals(rows):
+    totals = defaultdict(int)
+    for _, text, source in rows:
+        totals[source] += len((text or "").split())
+    return dict(totals)
+
+
+def test_many_sources_and_clashing_columns(spark, monkeypatch):
+    df = spark.range(30000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 9 AS int)) AS text", "concat('s', id % 6000) AS source")
+    want = sorted(map(tuple, mixing.mixed(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, mixing.mixed(df).collect())) == want and len(want) >= 30000
+    few = df.limit(50).selectExpr("*", "1 AS epoch", "2 AS position", "3 AS rate", "4 AS stop", "5 AS epochs")
+    got = mixing.mix(few, mixing.plan(few))
+    assert {"rate", "stop", "epochs", "epoch", "position"} <= set(got.columns) and got.filter("rate = 3 AND stop = 4").count() >= 50
+    long = spark.createDataFrame([(1, "w " * 400000, "x"), (2, "w", "y")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["n_tokens"] for r in mixing.mixed(long).collect()} == {1: 400000, 2: 1}
+
+
 def test_partial_budget_reads_less(documents):
     df = documents([(i, "w w", "s") for i in range(400)])
     assert 195 <= mixing.mixed(df, max_repeat=None, budget=400).count() <= 205
