@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterline.llm.graph import components
-from quarterline.llm.words import batches, shingle_sets
+from quarterline.llm.words import batches, shingle_sets, sliced
 from quarterline.session import stage
 
 K = 64
@@ -67,7 +67,7 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 
 def _signatures(width: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             sizes, keys, coordinates = [], [], []
             for _, raws in batches(part.column(1).to_pylist()):
                 for shingles in shingle_sets(raws, width):
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _sets(width: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             sets = [
                 shingles.tobytes() for _, raws in batches(part.column(1).to_pylist())
                 for shingles in shingle_sets(raws, width)

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarterline.llm.words import sliced
+
 #: parts of words a worker remembers before it starts afresh; bounds its memory
 PARTS = 600_000
 #: bytes of text encoded at once
@@ -144,8 +146,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_id
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            rows: list[list] = [[], [], [], [], [], []]
+        for part in sliced(parts):
+            rows: list[list] = [[], [], [], [], [], []][: 6 if with_ids else 5]
             for doc_id, ids in zip(part.column(0).to_pylist(), documents_ids(part.column(1).to_pylist(), path)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 #: bytes of text taken at once; a longer text is a batch of its own
 BATCH_BYTES = 1 << 20
@@ -54,6 +56,22 @@ def batches(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
+def sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of (id, text) batches in runs of about ``BATCH_BYTES`` of text, so that a worker holds few texts as objects.
+
+    What the runs of a batch used is given back before the next batch is read.
+    """
+    for part in parts:
+        ends = np.cumsum(pa.compute.binary_length(part.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < part.num_rows:
+            used = ends[first - 1] if first else 0
+            past = max(int(np.searchsorted(ends, used + BATCH_BYTES, side="right")), first + 1)
+            yield part.slice(first, past - first)
+            first = past
+        pa.default_memory_pool().release_unused()
+
+
 def word_hashes(raws: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, and where each text's words begin.
 
