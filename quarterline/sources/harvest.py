@@ -96,29 +96,33 @@ def _unspelled(field: Column) -> Column:
     return F.when(field.contains(_ESCAPE), plain).otherwise(field)
 
 
+def _unquoted(field: Column) -> Column:
+    """A field without its quotes; two quotes inside are one, and hidden line breaks show again."""
+    whole = field.startswith('"') & field.endswith('"') & (F.length(field) > 1)
+    inner = F.when(whole, F.substring(field, F.lit(2), F.length(field) - 2)).otherwise(
+        F.regexp_replace(F.btrim(field), r'(?s)^"(.*)"$', "$1"))
+    return F.when(field.contains('"'), F.replace(F.replace(inner, F.lit('""'), F.lit('"')), F.lit(_HIDDEN), F.lit("\n"))).otherwise(field)
+
+
 def _records(text: Column) -> Column:
-    """Lines of a CSV text, quoted line breaks kept inside their line; NULL where a quote stays open.
+    """Lines of a CSV text, quoted line breaks kept inside their line, commas between fields marked; NULL where a quote stays open.
 
-    A line break inside quotes follows an odd number of quotes. Cut at quotes, every second
-    piece is quoted text, in which breaks are hidden before the text is cut at the others.
+    A line break or a comma inside quotes follows an odd number of quotes. Cut at quotes, every second piece is quoted
+    text, in which breaks are hidden; in the others commas are marked. Then the text is cut at the breaks that are left.
     """
-    hidden = F.transform(F.split(text, '"', -1), lambda piece, i: F.when(
-        i % 2 == 1, F.translate(piece, "\n", _HIDDEN)).otherwise(piece))
+    marked = F.transform(F.split(text, '"', -1), lambda piece, i: F.when(
+        i % 2 == 1, F.replace(piece, F.lit("\n"), F.lit(_HIDDEN))).otherwise(F.replace(piece, F.lit(","), F.lit(_NEXT))))
     closed = (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 0
-    lines = F.when(~text.contains('"'), F.split(text, "\n", -1)).when(closed, F.split(F.array_join(hidden, '"'), "\n", -1))
+    lines = F.when(~text.contains('"'), F.split(F.replace(text, F.lit(","), F.lit(_NEXT)), "\n", -1)).when(
+        closed, F.split(F.array_join(marked, '"'), "\n", -1))
     return F.filter(lines, lambda line: line != "")
 
 
 def _fields(line: Column) -> Column:
-    """Fields of one line without their quotes; two quotes inside a quoted field are one."""
-    marked = F.transform(F.split(line, '"', -1), lambda piece, i: F.when(
-        i % 2 == 0, F.translate(piece, ",", _NEXT)).otherwise(piece))
-    quoted = F.transform(F.split(F.array_join(marked, '"'), _NEXT, -1), lambda field: _unspelled(F.when(
-        field.contains('"'),
-        F.translate(F.replace(F.regexp_replace(F.btrim(field), r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')), _HIDDEN, "\n"),
-    ).otherwise(field)))
-    plain = F.split(line, ",", -1)
-    return F.when(line.contains('"'), quoted).when(line.contains(_ESCAPE), F.transform(plain, _unspelled)).otherwise(plain)
+    """Fields of one line of ``_records``."""
+    plain = F.split(line, _NEXT, -1)
+    fields = F.transform(plain, lambda field: _unspelled(_unquoted(field)))
+    return F.when(line.contains('"') | line.contains(_ESCAPE), fields).otherwise(plain)
 
 
 def _names(schema: str) -> list[str]:
@@ -140,6 +144,9 @@ def payload_problem(schema: str = AREA_LINE) -> Column:
 
 def _read(responses: DataFrame, carry: Sequence[str], schema: str) -> DataFrame:
     """``carry``, ``_table`` (the fields of all records), ``_head`` (names), ``_form`` (problem, width, a place per column)."""
+    read = ("_table", "_head", "_form")
+    if set(read) <= set(responses.columns):
+        return responses.select(*carry, *read)
     cut = _once(
         responses.select(*carry, F.explode_outer(F.array("payload")).alias("_payload")), _text=_spelled(F.col("_payload")))
     cut = _once(cut, _table=F.transform(_records(F.col("_text")), _fields)).drop("_text")
@@ -150,6 +157,14 @@ def _read(responses: DataFrame, carry: Sequence[str], schema: str) -> DataFrame:
     return _once(cut, _form=form).drop("_payload")
 
 
+def read_payloads(responses: DataFrame, carry: Sequence[str], schema: str = AREA_LINE) -> DataFrame:
+    """Payloads cut and read once, staged for several of ``parse_payloads``, ``rejected_lines`` and ``failed_requests``.
+
+    These take it in place of the responses, with the same ``schema``.
+    """
+    return stage(_read(responses, carry, schema))
+
+
 def failed_requests(responses: DataFrame, carry: Sequence[str], schema: str = AREA_LINE) -> DataFrame:
     """Requests whose payload is no table, or has lines that ``rejected_lines`` lists, with the ``problem``."""
     read = _read(responses, carry, schema)
@@ -215,6 +230,7 @@ def _lines(
         earlier = F.lit(None).cast("string")
         if run_on:
             # putting rows in order reads them twice, to find borders and to move them: not the parse, too
+            read = read if others else read.drop("_head")
             read = stage(read.withColumn(top, F.try_element_at("_above", F.lit(-1))["v"]))
             read = previous_value(read, top, list(run_on), name="_earlier")
             earlier = F.col("_earlier")

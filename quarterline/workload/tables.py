@@ -225,10 +225,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     # small rows that unfold into many: spread them first, a small file is one task
     tasks = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
     spread = countries(spark, sf_dir).repartition(tasks, "country_no")
-    return request_grid(spread).select(
+    # a country's text is written before its requests unfold: once, not per request
+    return request_grid(spread.withColumn("payload", F.array_join(body, "\n"))).select(
         F.concat_ws("-", F.col("batch_no").cast("string"), key.cast("string")).alias("request_id"),
-        "batch_no", "country_no", "iso", "indicator", "age", "sex", "period",
-        F.array_join(body, "\n").alias("payload"),
+        "batch_no", "country_no", "iso", "indicator", "age", "sex", "period", "payload",
     )
 
 

@@ -5,6 +5,7 @@ import pytest
 from quarterline.plans import achievement as reports
 from quarterline.plans import modality, targets
 from quarterline.schemas import INDICATOR_RESULTS, TARGETS, Metadata
+from quarterline.workload import tables
 
 META = Metadata(2023, 2, "s")
 
@@ -106,3 +107,11 @@ def test_target_tables(spark):
     by_agency = targets.table_agency(df, 2025, ["CDC", "DOD"])
     assert [tuple(r) for r in by_agency.collect()] == [
         (2025, "TX_PVLS_D", None, 3.0, 3), (2025, "HTS_TST", 105.0, None, 6), (2025, "HTS_INDEX", None, 2.0, 9)]
+
+
+def test_a_payload_is_written_per_country_not_per_request(spark, tmp_path):
+    spark.createDataFrame([(k, f"n{k}") for k in range(6)], "c_custkey bigint, c_name string").write.parquet(
+        str(tmp_path / "customer.parquet"))
+    plan = tables.responses(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    # what unfolds a country's requests stands above the text
+    assert plan.count("array_join") == 1 and plan.index("Generate") < plan.index("array_join")
