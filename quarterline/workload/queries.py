@@ -144,7 +144,8 @@ def rejected_payload_lines(spark, sf_dir):
 @query
 def accepted_and_rejected_lines(spark, sf_dir):
     """What became of the requests and lines of each indicator."""
-    faulty, by = t.faulty_responses(spark, sf_dir), ("indicator",)
+    by = ("indicator",)
+    faulty = area.read_payloads(t.faulty_responses(spark, sf_dir), by)
     parts = {
         "accepted_line": area.parse_payloads(faulty, by),
         "rejected_line": area.rejected_lines(faulty, by),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarterline.operators.aggregate import read_metadata, snapshot_metadata
 from quarterline.schemas import INDICATOR_RESULTS, TARGETS
 from quarterline.sources.harvest import (
-    failed_requests, harvest, label_estimates, parse_payloads, rejected_lines, request_grid, request_url,
+    failed_requests, harvest, label_estimates, parse_payloads, read_payloads, rejected_lines, request_grid, request_url,
     with_operating_unit,
 )
 from quarterline.sources.snapshots import (
@@ -232,3 +232,18 @@ def test_operating_unit_by_request_and_run_on(spark):
 def test_label_estimates_keeps_unknown_codes(spark, rows):
     df = spark.createDataFrame([("adults", "2023-1")], "age STRING, period STRING")
     assert rows(label_estimates(df)) == [("adults", "2023-1")]
+
+
+def test_payloads_read_once_serve_all_three_results(spark, rows):
+    """Accepted lines, rejected lines and failed requests come from one reading of the payloads."""
+    payloads = [
+        (1, 'area,level,mean,lower,upper\n"A, ""x""\nb",0,1,2,3\nshort,2'), (2, None), (3, 'area,"level'), (4, ""),
+        (5, "area,level,mean,lower,upper\r\nB\x1d,2,1,2,x"), (6, 'area,level,mean,lower,upper\n "C" ,"",1,2,\n""D,2,\x1f,"1",2'),
+    ]
+    responses = spark.createDataFrame(payloads, "request_id bigint, payload string")
+    read = read_payloads(responses, ["request_id"])
+    for operator in (parse_payloads, rejected_lines, failed_requests):
+        assert rows(operator(read, ["request_id"])) == rows(operator(responses, ["request_id"]))
+    assert rows(parse_payloads(read, ["request_id"]), "request_id", "line_no", "area", "mean", "upper") == [
+        (1, 1, 'A, "x"\nb', 1.0, 3.0), (5, 1, "B\x1d", 1.0, None), (6, 1, "C", 1.0, None), (6, 2, '"D', None, 2.0)]
+    assert "Parquet" in read._jdf.queryExecution().toString() and "array_join" not in read._jdf.queryExecution().toString()
