@@ -25,7 +25,7 @@ from quarterline.llm.near_dup import BROADCAST_IDS, near_duplicates
 from quarterline.llm.packing import pack_documents
 from quarterline.llm.queries import tokenizer_path
 from quarterline.llm.secret_scan import corpus_samples, find_secrets, redact, train
-from quarterline.session import stage
+from quarterline.session import small_batches, stage
 
 #: a small source is read at most so often
 MAX_REPEAT = 2.0
@@ -40,6 +40,7 @@ def keeps_columns(function: Callable[[SparkSession, DataFrame, str], DataFrame])
 
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         spare = [name if name in OWN else f"_extra_{k}" for k, name in enumerate(docs.columns)]
         return function(spark, docs.toDF(*spare), sf_dir).toDF(*docs.columns)
 
@@ -88,6 +89,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack_documents(docs, tokenizer_path())
 
 

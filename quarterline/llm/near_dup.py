@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quarterline.llm.graph import components
 from quarterline.llm.words import batches, shingle_sets, sliced
-from quarterline.session import stage
+from quarterline.session import small_batches, stage
 
 K = 64
 T = 36
@@ -314,6 +314,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Repeated rows are copies of each other, and rows with one doc_id are one vertex. Other columns are ignored;
     an empty table gives an empty result. A NULL doc_id is kept, alone, with a NULL component.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = stage(signatures(docs, width))
     worded = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -31,6 +31,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
     return builder.getOrCreate()
 
 
+#: rows of a batch that Python workers get, at most
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most ``BATCH_ROWS`` rows for the session's Python workers, so that rows with whole texts or sets need little
+    memory in the workers and in the executors' buffers; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """Partition count for a placement that adaptive execution must not shrink.
 

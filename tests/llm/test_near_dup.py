@@ -5,8 +5,9 @@ import re
 
 import pytest
 
-from quarterline.llm import near_dup
+from quarterline.llm import graph, near_dup
 from quarterline.llm.graph import components
+from quarterline.session import BATCH_ROWS
 
 
 def brute_force(rows, width=4):
@@ -124,3 +125,26 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (100, 101)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
+
+
+def test_links_that_are_stars_already_need_no_round(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(graph, "stage", lambda df, keep=graph.stage: staged.append(1) or keep(df))
+    stars = [(1, k) for k in range(2, 6)] + [(7, 8), (9, 9), (1, 3)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(1, 6), 1), 7: 7, 8: 7} and len(staged) == 1
+    # a child of two roots, and a child that is a root, are no stars
+    for links in ([(1, 3), (2, 3)], [(1, 2), (2, 3)]):
+        assert {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_python_workers_get_small_batches(spark, documents):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, wanted in ((10_000, BATCH_ROWS), (0, BATCH_ROWS), (7, 7)):
+            spark.conf.set(key, str(given))
+            near_dup.near_duplicates(documents([(1, "a b c d e")]))
+            assert int(spark.conf.get(key)) == wanted
+    finally:
+        spark.conf.set(key, before)
