@@ -189,3 +189,47 @@ def test_alignment_is_a_longest_common_subsequence(monkeypatch):
             pairs = w.aligned(a, b)
             assert len(pairs) == table[-1][-1] and all(a[i] == b[j] for i, j in pairs)
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_all_pages_of_a_template_decide(spark):
+    """The article's paragraphs, a notice and a second holder show on few pages, one repeat on a single page."""
+    pages = []
+    for i in range(300):
+        extra = {7: "<i class='odd'>x</i>", 11: "<ol><li>a</li><li>b</li></ol>", 13: "<pre>p</pre><pre>q</pre><hr>"}.get(i, "")
+        pages.append(f"<body><div class='k'><p>menu</p></div><div class='z'><p>text {i} of a page</p>{extra}<p>end {i}</p></div><p>imprint</p></body>")
+    df = spark.createDataFrame([(i, "http://all.example/", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    wrappers = w.host_wrappers(df)
+    assert all(row["by_wrapper"] for row in w.main_texts(df, wrappers).collect())
+    known = w.json.loads(wrappers.head()["wrapper"])
+    assert {"i odd", "ol", "li", "pre", "hr"} <= known["alphabet"].keys() and known["by_slots"]
+    assert known == w.json.loads(w.json.dumps(w.infer(pages)))
+
+
+def test_constants_are_counted_over_all_pages(spark):
+    """A text on three pages of four is no constant, however many of the pages one looks at first have it."""
+    pages = [f"<body><p>Welcome</p><h1>Title {i}</h1><p>text {i} of a page</p><p>{'Common end' if i % 4 else f'Own end {i}'}</p></body>" for i in range(200)]
+    df = spark.createDataFrame([(i, "http://c.example/", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in w.main_texts(df, w.host_wrappers(df)).collect()}
+    assert texts == {i: f"Title {i}\ntext {i} of a page\n{'Common end' if i % 4 else f'Own end {i}'}" for i in range(200)}
+
+
+def test_folds_of_many_structures_do_not_depend_on_how_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(w, "FOLDED", 4)
+    rng = random.Random(8)
+    blocks = ("<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<pre>{}</pre>")
+    pages = ["<body><div class='u'><p>menu</p></div><div class='v'>"
+             + "".join(rng.choice(blocks).format(f"text {i} {k}") for k in range(rng.randint(1, 12))) + "</div></body>" for i in range(150)]
+    rows = [(i, "http://f.example/", page) for i, page in enumerate(pages)]
+    schema = "page_id long, url string, html string"
+    a, b = (w.host_wrappers(spark.createDataFrame(given, schema).repartition(n)).collect() for given, n in ((rows, 3), (rows[::-1] + rows[:9], 7)))
+    assert a == b and len(a) == 1
+    got = [w.extract(page, a[0]["wrapper"]) for page in pages]
+    assert sum(matched for _, matched in got) > 0.8 * len(pages)
+
+
+def test_tags_that_hardly_any_page_has_are_read_over(monkeypatch):
+    monkeypatch.setattr(w, "RARE", 5)
+    pages = [f"<body><div class='z'><p>text {i}</p><div class='x{'abcdefghijkl'[i]}'><p>more {i}</p></div></div><p>imprint</p></body>" for i in range(12)]
+    wrapper = w.infer(pages)
+    assert not any(" x" in name for name in wrapper["alphabet"])
+    assert [w.extract(page, w.json.dumps(wrapper)) for page in pages] == [(f"text {i}\nmore {i}", True) for i in range(12)]
