@@ -97,6 +97,31 @@ def test_marks_tell_exchanged_and_repeated_rows_apart(spark, tmp_path):
     assert changed_years(spark.createDataFrame([(2020, "a", "x", 2.0, 2.0), (2020, "b", "x", 1.0, 1.0)], SUMS), store) == [2020]
 
 
+def test_marks_hold_for_years_of_many_rows(spark, tmp_path, rows):
+    """Hash sums of so many rows leave a bigint."""
+    store = str(tmp_path / "s")
+    df = spark.range(300_000).selectExpr("cast(2020 + id % 2 as int) fiscal_year", "concat('i', id % 5) indicator", "cast(id as double) qtr1")
+    assert update_sums(df, store, ["indicator"], "qtr") == [2020, 2021]
+    assert changed_years(df.repartition(3), store) == []
+    newer = df.withColumn("qtr1", F.expr("if(qtr1 = 299999, 0, qtr1)"))
+    assert update_sums(newer, store, ["indicator"], "qtr") == [2021]
+    assert rows(kept_sums(spark, store), "fiscal_year", "indicator", "qtr1") == rows(sum_across(newer, ["fiscal_year", "indicator"], "qtr"))
+
+
+def test_rows_without_a_year_are_kept(spark, tmp_path, rows):
+    store, keys = str(tmp_path / "s"), ["indicator", "agency"]
+    df = _facts(spark, (None, "i1", "a1", 3.0, 1.0), (None, "i1", "a1", 4.0, None))
+    assert update_sums(df, store, keys, "qtr|targets") == [2020, 2021, 2022, 2023, None]
+    assert changed_years(df, store) == []
+    newer = _facts(spark, (None, "i1", "a1", 5.0, 1.0), (2024, None, "a1", 1.0, 1.0))
+    assert changed_years(newer, store) == [2024, None]
+    assert update_sums(newer, store, keys, "qtr|targets", years=[None, 2024, None]) == [2024, None]
+    full = sum_across(newer, ["fiscal_year", *keys], "qtr|targets")
+    assert rows(kept_sums(spark, store), *full.columns) == rows(full)
+    update_sums(newer.filter("fiscal_year IS NULL"), f"{store}0", keys, "qtr|targets")
+    assert kept_sums(spark, f"{store}0").schema["fiscal_year"].dataType == full.schema["fiscal_year"].dataType
+
+
 def test_grouping_sets_from_kept_sums(spark, tmp_path, rows):
     store = str(tmp_path / "s")
     df = _facts(spark).filter("agency IS NOT NULL")
