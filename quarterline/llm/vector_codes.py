@@ -231,7 +231,7 @@ def _points(parts: Tree, entries: EntryTree, leaf: np.ndarray, entry: np.ndarray
         at = begin + np.minimum(k, size - 1)
         apart = _squares(parts.points[tree, at] - entries.codebooks[tree, index])
         least = np.repeat(np.minimum.reduceat(apart, first), pairs)
-        nearest = np.minimum.reduceat(np.where(apart == least, index, ENTRIES), first)
+        nearest = np.minimum.reduceat(np.where(apart == least, index, entries.codebooks.shape[1]), first)
         real = k < size[first]
         found.append((tree[first][real], at[first][real], nearest[real]))
     return tuple(np.concatenate(x) for x in zip(*found))

@@ -36,6 +36,13 @@ def test_walk_equals_all_distances(seed, n, entries, width, spread):
             assert counts[tree, entry] == len(own) and (sums[tree, entry] == own.sum(axis=0)).all()
 
 
+def test_walk_knows_more_entries_than_the_query():
+    rng = np.random.default_rng(0)
+    points, books = rng.integers(-3, 4, (3, 40, 3)), rng.integers(-3, 4, (3, 3 * v.ENTRIES, 3))
+    parts, found = walked(points, books)
+    assert (v.point_entries(parts, found) == nearest(parts.points, books)).all()
+
+
 def test_whole_nodes_are_assigned_at_once():
     rng = np.random.default_rng(5)
     books = rng.integers(-500, 500, (1, 16, 2))
